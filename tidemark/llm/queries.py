@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid
+from tidemark.llm import langid, packing, simhash
 from tidemark.llm.common import crc_of_id, table
 
 
@@ -17,7 +18,20 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", crc_of_id(F.col("doc_id")) % 4 == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    grouped = simhash.groups(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 tokens, placed in sequences."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op1_language": op1_language,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
 }
 ORACLES: dict[str, str] = {}
