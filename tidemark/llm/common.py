@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,11 +27,24 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``.  Only where none is set (tests on one
     machine) does a temporary folder take its place.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut``, but later passes read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def map_batches(df: DataFrame, body: Callable[[Iterator[dict]], Iterator[dict]], schema: T.StructType) -> DataFrame:
@@ -39,11 +53,8 @@ def map_batches(df: DataFrame, body: Callable[[Iterator[dict]], Iterator[dict]],
 
     def run(batches):
         def columns():
-            for batch in batches:
-                step = max(1, min(batch.num_rows, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes))))
-                for start in range(0, batch.num_rows, step):
-                    part = batch.slice(start, step)
-                    yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
+            for part in small_parts(batches):
+                yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
         for out in body(columns()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in wanted], schema=wanted)
@@ -51,6 +62,24 @@ def map_batches(df: DataFrame, body: Callable[[Iterator[dict]], Iterator[dict]],
     return df.mapInArrow(run, schema)
 
 
+def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BATCH_BYTES``."""
+    for batch in batches:
+        step = max(1, min(batch.num_rows, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes))))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def keep_rows(df: DataFrame, column: str, verdicts: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of ``df`` for whose ``column`` the verdict is true; every column comes back as it is."""
+
+    def run(batches):
+        for part in small_parts(batches):
+            yield part.filter(pa.array(verdicts(part.column(column).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import GramHasher, hashed_fraction, map_batches
+from tidemark.llm.common import GramHasher, hashed_fraction, keep_rows, map_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -157,22 +157,32 @@ def fit(train: DataFrame, *, bits: int = 13, clusters: int = 6, sample_per_lang:
     return LanguageModel(names, idf, np.concatenate(each) if each else np.zeros((0, 1 << bits), np.float32), owner, np.array([fitted[n].least for n in names]), bits)
 
 
+def verdicts(texts: list[str | None], model: LanguageModel, hasher: GramHasher) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and rejection of each whole text."""
+    langs, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    known = [i for i, t in enumerate(texts) if model.langs and t and LETTER.search(t)]
+    for first in range(0, len(known), 256):
+        part = known[first : first + 256]
+        winner, cosine = model.predict(np.stack([model.vector(hasher, texts[i]) for i in part]))
+        for i, w, c in zip(part, winner.tolist(), cosine.tolist(), strict=True):
+            langs[i], scores[i] = model.langs[w], min(1.0, max(0.0, c))
+            rejected[i] = c < model.least[w, length_class(texts[i])]
+    return langs, scores, rejected
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for every row, from its whole text alone."""
 
     def body(batches):
         hasher = GramHasher(model.bits)
         for batch in batches:
-            texts = batch["text"]
-            known = [i for i, t in enumerate(texts) if model.langs and t and LETTER.search(t)]
-            out = {"doc_id": batch["doc_id"], "lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts), "rejected": [True] * len(texts)}
-            for first in range(0, len(known), 256):
-                part = known[first : first + 256]
-                winner, cosine = model.predict(np.stack([model.vector(hasher, texts[i]) for i in part]))
-                for i, w, c in zip(part, winner.tolist(), cosine.tolist(), strict=True):
-                    out["lang_pred"][i] = model.langs[w]
-                    out["score"][i] = min(1.0, max(0.0, c))
-                    out["rejected"][i] = c < model.least[w, length_class(texts[i])]
-            yield out
+            langs, scores, rejected = verdicts(batch["text"], model, hasher)
+            yield {"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores, "rejected": rejected}
 
     return map_batches(docs.select("doc_id", "text"), body, PREDICTED)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not rejected."""
+    hasher = GramHasher(model.bits)
+    return keep_rows(docs, "text", lambda texts: [not x for x in verdicts(texts, model, hasher)[2]])

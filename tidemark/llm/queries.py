@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, simhash
+from tidemark.llm import langid, packing, quality, secret_scan, simhash
 from tidemark.llm.common import crc_of_id, table
 
 
@@ -29,9 +29,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text, its host and its path."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
 }
 ORACLES: dict[str, str] = {}
