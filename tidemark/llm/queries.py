@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, quality, secret_scan, simhash
+from tidemark.llm import jpeg, langid, licenses, packing, piece, quality, secret_scan, simhash
 from tidemark.llm.common import crc_of_id, table
 
 
@@ -29,6 +29,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in a baseline JPEG and read back."""
+    return jpeg.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's piece ids and of what they decode to."""
+    return piece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from its text, its host and its path."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -40,11 +50,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_jpeg": op5_jpeg,
+    "op6_pieces": op6_pieces,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {}
