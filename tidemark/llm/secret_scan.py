@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import map_batches, small_parts
 
 LEAST = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 DICTIONARY = 20_000
 PLACEHOLDER = "[SECRET]"
 #: Words that speak for or against a secret nearby, and in a path.
@@ -165,9 +165,12 @@ def training_findings(words: frozenset[str], n: int = 6000, seed: int = 7) -> li
         path = rng.choice(["", "", f"src{rng.randrange(40)}", "app/config/settings", "docs/guide", "tests/data"])
         if i % 2:
             token = rng.choice(
-                [draw("0123456789abcdef", rng.choice([32, 40, 64])), draw(full, rng.randint(20, 64)), draw(full + "+/", 40) + "=", "AKIA" + draw(SYMBOLS[:36].upper(), 16), "ghp_" + draw(full, 36), "sk-" + draw(full, 40)]
-            )
-            if rng.random() < 0.8:
+                [
+                    draw("0123456789abcdef", rng.choice([32, 40, 64])), draw("0123456789abcdef", rng.randint(16, 28)), draw(full, rng.randint(16, 64)), draw(full + "+/", 40) + "=",
+                    "AKIA" + draw(SYMBOLS[:36].upper(), 16), draw(SYMBOLS[:36].upper(), rng.randint(18, 32)), "ghp_" + draw(full, 36), "sk-" + draw(full, 40),
+                ]
+            )
+            if rng.random() < 0.7:
                 quote = rng.choice(["\"", "'", ""])
                 around = around[0] + rng.choice(names) + rng.choice([" = ", "=", ": "]) + quote, quote + around[1]
             out.append(Finding(token, *around, path, True))
