@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jpeg, langid, licenses, packing, piece, quality, secret_scan, simhash
+from tidemark.llm import jpeg, langid, licenses, packing, pii, piece, quality, secret_scan, simhash
 from tidemark.llm.common import crc_of_id, table
 
 
@@ -39,6 +39,11 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from its text, its host and its path."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_jpeg": op5_jpeg,
     "op6_pieces": op6_pieces,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
