@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jpeg, langid, licenses, packing, pii, piece, quality, secret_scan, simhash
+from tidemark.llm import ann, jpeg, langid, licenses, packing, pii, piece, quality, secret_scan, simhash
 from tidemark.llm.common import crc_of_id, table
 
 
@@ -18,6 +18,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", crc_of_id(F.col("doc_id")) % 4 == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     grouped = simhash.groups(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_neighbours": op2_neighbours,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_jpeg": op5_jpeg,
