@@ -10,7 +10,7 @@ assignments (secret), and compounds of dictionary words, identifiers, numbers, p
 (not secret).  Other labelled findings can be given to ``fit`` instead.
 
 Scale.  Transition and word counts cover all documents; they are summed per batch, then by key.  The dictionary keeps
-the ``DICTIONARY`` most frequent words.  The model is bounded, and scanning is one pass without a shuffle.
+the most frequent words, at most ``DICTIONARY``.  The model is bounded, and scanning is one pass without a shuffle.
 
 Edge cases.  Null or empty text has no candidates.  Very long candidates are scored whole.  Repeated rows get a row
 each.  A null path has no path words.  An empty table gives no rows; the forest then knows no dictionary.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches, small_parts
+from tidemark.llm.common import cut, map_batches, small_parts
 
 LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
@@ -91,14 +91,20 @@ def corpus_statistics(docs: DataFrame) -> Corpus:
             used = np.flatnonzero(pairs)
             yield {"key": [f"#{i}" for i in used.tolist()] + [w.decode() for w, _ in words], "n": pairs[used].tolist() + [n for _, n in words]}
 
-    counts = map_batches(docs.select("text"), body, schema).groupBy("key").agg(F.sum("n").alias("n"))
+    counts = cut(map_batches(docs.select("text"), body, schema).groupBy("key").agg(F.sum("n").alias("n")))
+    is_pair = F.col("key").startswith("#")
     pairs = np.ones((_STATES, _STATES))
-    top = counts.withColumn("kind", F.col("key").startswith("#")).orderBy(F.desc("kind"), F.desc("n"), "key").limit(DICTIONARY + _STATES * _STATES).collect()
-    for row in top:
-        if row.kind:
-            pairs[divmod(int(row.key[1:]), _STATES)] += row.n
-    words = [r.key for r in top if not r.kind][:DICTIONARY]
-    return Corpus(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(words))
+    for row in counts.where(is_pair).collect():
+        pairs[divmod(int(row.key[1:]), _STATES)] += row.n
+    # the most frequent words by whole classes of frequency, so that no more than the dictionary reaches the driver
+    words = counts.where(~is_pair).withColumn("class", F.floor(F.log2("n") * 32))
+    room, least = DICTIONARY, None
+    for row in sorted(words.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        if row.n > room:
+            break
+        room, least = room - row.n, row["class"]
+    kept = [r.key for r in words.where(F.col("class") >= least).select("key").collect()] if least is not None else []
+    return Corpus(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(kept))
 
 
 _LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
