@@ -18,6 +18,7 @@ gets the global rate one half.  Repeated rows count each.  An empty table gives
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,17 @@ _CLASSES[97:123], _CLASSES[65:91], _CLASSES[48:58] = 1, 2, 3
 _CLASSES[[9, 10, 11, 12, 13, 32]], _CLASSES[[44, 46]], _CLASSES[124], _CLASSES[128:] = 4, 5, 6, 7
 
 
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[list(b"!#$%&*|")] = True
+
+
+def raw_ends(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Last and first bytes of all words."""
+    data = np.frombuffer(b" " + raw + b" ", dtype=np.uint8)
+    inside = _CLASSES[data] != 4
+    return data[:-1][inside[:-1] & ~inside[1:]], data[1:][inside[1:] & ~inside[:-1]]
+
+
 def statistics(text: str | None) -> list[float]:
     """The numbers named in ``NAMES``, of the whole text."""
     raw = (text or "").encode("utf-8", "replace")
@@ -50,13 +62,12 @@ def statistics(text: str | None) -> list[float]:
     other, lower, upper, digits, blank, stops, bars, wide = kinds.tolist()
     words = raw.split()
     n, size = max(1, len(words)), len(raw)
-    seen: dict[bytes, int] = {}
-    for word in words:
-        seen[word] = seen.get(word, 0) + 1
+    seen = Counter(words)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     in_a_row = sum(map(bytes.__eq__, words, words[1:]))
-    marked = sum(w[-1:] in b"!#$%&*|" for w in words)
-    capital = sum(w[:1].isupper() for w in words)
+    lasts, firsts = raw_ends(raw)
+    marked = int(_MARKS[lasts].sum())
+    capital = int((_CLASSES[firsts] == 2).sum())
     return [
         float(np.log1p(len(words))), sum(map(len, words)) / n, upper / max(1, lower + upper + wide), digits / size, blank / size, stops / n, other / n, bars / n, wide / size,
         len(seen) / n, max(seen.values(), default=0) / n, in_a_row / n, len(set(lines)) / max(1, len(lines)), marked / n, float(np.log1p(n / max(1, len(lines)))), capital / n,
