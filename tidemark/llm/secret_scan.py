@@ -33,7 +33,8 @@ from tidemark.llm.common import cut, map_batches, small_parts
 
 LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-DICTIONARY = 20_000
+#: The dictionary's most words, and how often a word must occur: parts of secrets are mostly seen once.
+DICTIONARY, LEAST_SEEN = 20_000, 3
 PLACEHOLDER = "[SECRET]"
 #: Words that speak for or against a secret nearby, and in a path.
 FOR = frozenset("token key apikey api_key secret password passwd pwd auth authorization bearer credential credentials private access client_secret".split())
@@ -97,7 +98,7 @@ def corpus_statistics(docs: DataFrame) -> Corpus:
     for row in counts.where(is_pair).collect():
         pairs[divmod(int(row.key[1:]), _STATES)] += row.n
     # the most frequent words by whole classes of frequency, so that no more than the dictionary reaches the driver
-    words = counts.where(~is_pair).withColumn("class", F.floor(F.log2("n") * 32))
+    words = counts.where(~is_pair & (F.col("n") >= LEAST_SEEN)).withColumn("class", F.floor(F.log2("n") * 32))
     room, least = DICTIONARY, None
     for row in sorted(words.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
         if row.n > room:
@@ -173,7 +174,7 @@ def training_findings(words: frozenset[str], n: int = 6000, seed: int = 7) -> li
             token = rng.choice(
                 [
                     draw("0123456789abcdef", rng.choice([32, 40, 64])), draw("0123456789abcdef", rng.randint(16, 28)), draw(full, rng.randint(16, 64)), draw(full + "+/", 40) + "=",
-                    "AKIA" + draw(SYMBOLS[:36].upper(), 16), draw(SYMBOLS[:36].upper(), rng.randint(18, 32)), "ghp_" + draw(full, 36), "sk-" + draw(full, 40),
+                    "AKIA" + draw(SYMBOLS[:26].upper() + "234567", 16), draw(SYMBOLS[:36].upper(), rng.randint(18, 32)), "ghp_" + draw(full, 36), "sk-" + draw(full, 40),
                 ]
             )
             if rng.random() < 0.7:
