@@ -12,6 +12,13 @@ is not paired up: its members go on to a second and third level, where the other
 and no run is unbounded.  Within a run only links that span its verified groups are kept (a member to the group's
 first), never all pairs.  Components grow by least labels with pointer jumping, cut at every round.
 
+Verified groups.  ``verified_groups`` takes the usual bar for near copies, a Jaccard similarity of 0.8 of five-word
+shingles.  Such pairs differ in more bits than two, so it fingerprints the set of single words, which a few edits
+change least, and allows five bits: three segments of 21 bits, one of which differs by at most one.  Too large runs
+go on with the segments that are left, in pieces of 14 and then 9 bits.  Close pairs are then verified: their
+similarity is computed from the 128 smallest shingle hashes of each text (exact up to 128 shingles).  Texts equal word
+by word are one node from the start.
+
 Edge cases.  Null or wordless text has fingerprint zero and is linked like any other.  Texts with fewer words than a
 shingle hash their whole word sequence.  Repeated rows and ties fall together.  A component's id is the smallest
 non-null ``doc_id`` in it.  An empty table gives no rows.
@@ -212,3 +219,180 @@ def groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = MAX_BITS) -> Da
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = named.select("print", "label").join(least, "label").select("print", "component_id")
     return prints.join(classes, "print").select("doc_id", "print", "component_id")
+
+
+#: Verified groups: words per shingle, least similarity, differing bits of candidates, and hashes kept of a text.
+SHINGLE, SIMILARITY, WIDE_BITS, SKETCH = 5, 0.8, 5, 128
+#: Members of a run that are compared in memory by ``verified_groups``; only the last level takes larger runs.
+WIDE_LEAF = 16_384
+#: Bits of the segments at each level: three each time, cut from what is left.
+WIDTHS = (21, 14, 9)
+
+PROFILES = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("content_a", T.LongType()),
+        T.StructField("content_b", T.LongType()),
+        T.StructField("print", T.LongType()),
+        T.StructField("sketch", T.BinaryType()),
+    ]
+)
+
+
+def sketch(tokens: list[bytes], size: int = SHINGLE, kept: int = SKETCH) -> bytes:
+    """The smallest distinct shingle hashes of the whole text, in order."""
+    digest, join = xxhash.xxh32_digest, b" ".join
+    n = max(1, len(tokens) - size + 1) if tokens else 0
+    smallest = np.zeros(0, dtype=">u4")
+    for first in range(0, n, CHUNK):
+        part = tokens[first : min(n, first + CHUNK) + size - 1]
+        shifted = [part[k:] for k in range(size)] if len(part) >= size else [[join(part)]]
+        hashes = np.frombuffer(b"".join([digest(join(s), SEED) for s in zip(*shifted, strict=False)]), dtype=">u4")
+        smallest = np.unique(np.concatenate([smallest, hashes]))[:kept]
+    return smallest.astype(">u4").tobytes()
+
+
+def similarity(a: bytes, b: bytes, kept: int = SKETCH) -> float:
+    """Jaccard similarity: the share of both among the smallest of the union."""
+    left, right = np.frombuffer(a, dtype=">u4"), np.frombuffer(b, dtype=">u4")
+    union = np.union1d(left, right)
+    if len(left) >= kept or len(right) >= kept:
+        union = union[:kept]
+    return len(np.intersect1d(np.intersect1d(left, right, True), union, True)) / len(union) if len(union) else 1.0
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """Of every whole text: a hash of its words in order, the fingerprint of its set of words, and its sketch."""
+
+    def body(batches):
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in PROFILES}
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                tokens = words(text)
+                content = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(tokens)), dtype="<i8")
+                for name, value in zip(out, (doc_id, int(content[0]), int(content[1]), fingerprint(sorted(set(tokens)), 1), sketch(tokens)), strict=True):
+                    out[name].append(value)
+            yield out
+
+    return map_batches(docs.select("doc_id", "text"), body, PROFILES)
+
+
+def close_pairs(prints: np.ndarray, nodes: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Pairs of close members that span what closeness connects in the run."""
+    left, pairs = np.arange(len(prints)), []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = hamming(prints[left], prints[at]) <= max_bits
+            reached, left = left[near], left[~near]
+            pairs += [(int(nodes[at]), int(nodes[x])) for x in reached]
+            front += list(reached)
+    return pairs
+
+
+def node_links(nodes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
+    """Candidate links (``a``, ``b``) of ``node, print`` rows, along one-wildcard variants of three segments."""
+    fields = ["key", "rest", "print", "node"]
+    schema = "key long, rest long, print long, node long, other long"
+
+    def level(rows: DataFrame, last: bool) -> DataFrame:
+        def run(batches):
+            held = [np.zeros(0, dtype=np.int64) for _ in fields]
+
+            def settle(columns):
+                """Links of whole runs; too large ones go on as they are."""
+                keys, rest, prints, nodes = columns
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+                sizes = np.diff(np.r_[starts, len(keys)])
+                pairs: list[tuple[int, int]] = []
+                twos = starts[sizes == 2]
+                close = twos[hamming(prints[twos], prints[twos + 1]) <= max_bits] if len(twos) else twos
+                pairs += zip(nodes[close].tolist(), nodes[close + 1].tolist(), strict=True)
+                passed = [np.zeros(0, dtype=np.int64)]
+                for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                    if size <= WIDE_LEAF or last:
+                        pairs += close_pairs(prints[start : start + size], nodes[start : start + size], max_bits)
+                    else:
+                        passed.append(np.arange(start, start + size))
+                found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+                on = np.concatenate(passed).astype(np.int64)
+                none = np.full(len(found), -1)
+                out = (np.r_[none, keys[on]], np.r_[none, rest[on]], np.r_[none, prints[on]], np.r_[found[:, 0], nodes[on]], np.r_[found[:, 1], nodes[on]])
+                return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in out], names=[*fields, "other"])
+
+            over = None  # the key of a run that is already known to be too large
+            for batch in batches:
+                columns = [np.r_[h, batch.column(i).to_numpy()] for i, h in enumerate(held)]
+                if not len(columns[0]):
+                    continue
+                keys = columns[0]
+                if over is not None and keys[0] == over:  # its members go on as they come
+                    n = int(np.searchsorted(keys != over, True))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:n], type=pa.int64()) for x in (*columns, columns[3])], names=[*fields, "other"])
+                    columns = [x[n:] for x in columns]
+                    keys = columns[0]
+                    if not len(keys):
+                        held = columns
+                        continue
+                over = None
+                first = len(keys) - int(np.searchsorted(keys[::-1] != keys[-1], True)) if keys[0] != keys[-1] else 0
+                yield settle([x[:first] for x in columns])
+                held = [x[first:] for x in columns]
+                if len(held[0]) > WIDE_LEAF and not last:
+                    over = held[0][0]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (*held, held[3])], names=[*fields, "other"])
+                    held = [x[:0] for x in held]
+            yield settle(held)
+
+        return rows.select(*fields).repartition(F.col("key")).sortWithinPartitions("key", "print").mapInArrow(run, schema)
+
+    rows = nodes.select("node", "print", F.lit(0).cast("long").alias("key"), F.col("print").alias("rest"))
+    links = None
+    for depth, width in enumerate(WIDTHS):
+        mask, low = (1 << width) - 1, (1 << (2 * width)) - 1
+        rest = F.col("rest")
+        left_over = (rest.bitwiseAND(F.lit(low)), F.shiftrightunsigned(rest, 2 * width).bitwiseAND(F.lit(mask)) + F.shiftleft(rest.bitwiseAND(F.lit(mask)), width), F.shiftrightunsigned(rest, width).bitwiseAND(F.lit(low)))
+        variants = []
+        for i, others in zip((2, 1, 0), left_over, strict=True):
+            segment = F.shiftrightunsigned(rest, i * width).bitwiseAND(F.lit(mask))
+            variants += [F.struct((segment.bitwiseAND(F.lit(mask & ~(1 << p))) + F.lit((i * width + p) << width)).alias("code"), others.alias("rest")) for p in range(width)]
+        spread = rows.select("node", "print", "key", F.explode(F.array(*variants)).alias("v"))
+        keyed = spread.select("node", "print", F.col("v.rest").alias("rest"), (F.col("v.code") if not depth else F.shiftrightunsigned(F.xxhash64("key", "v.code"), 1)).alias("key"))
+        found = cut(level(keyed, depth == len(WIDTHS) - 1))
+        own = found.where("key = -1").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        links = own if links is None else links.unionByName(own)
+        rows = found.where("key != -1").select("node", "print", "key", "rest")
+        if rows.isEmpty():
+            break
+    return links.distinct()
+
+
+def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The links whose texts are similar enough."""
+    left, right = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("left")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
+
+    def body(batches):
+        for batch in batches:
+            rows = zip(batch["a"], batch["b"], batch["left"], batch["right"], strict=True)
+            kept = [(a, b) for a, b, x, y in rows if similarity(x, y) >= least]
+            yield {"a": [a for a, _ in kept], "b": [b for _, b in kept]}
+
+    return map_batches(links.join(left, "a").join(right, "b").select("a", "b", "left", "right"), body, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+def verified_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` for every row: texts equal word by word, and verified near copies, fall together."""
+    known = cut(profiles(docs))
+    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), F.first("print").alias("print"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
+    labels = components(verify(node_links(nodes), nodes))
+    named = nodes.select("content_a", "content_b", "node").join(labels, "node", "left").select("content_a", "content_b", F.coalesce("label", "node").alias("component_id"))
+    return known.select("doc_id", "content_a", "content_b").join(named, ["content_a", "content_b"]).select("doc_id", "component_id")
+
+
+def joined_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id``: what ``groups`` or ``verified_groups`` puts together."""
+    both = cut(groups(docs).select("doc_id", F.col("component_id").alias("one")).join(verified_groups(docs).withColumnRenamed("component_id", "two").dropDuplicates(["doc_id"]), "doc_id"))
+    labels = components(both.where("one != two").select(F.col("one").alias("a"), F.col("two").alias("b")).distinct())
+    named = both.join(labels.withColumnRenamed("node", "one"), "one", "left")
+    return named.select("doc_id", F.coalesce("label", "one").alias("component_id"))
