@@ -105,3 +105,65 @@ def test_large_group_is_one_component(spark):
         least[label[p]] = min(i, least.get(label[p], i))
     assert all(r.component_id == least[label[prints[r.doc_id]]] for r in out.select("doc_id", F.col("component_id")).collect())
     assert rng is not None
+
+
+def near_copies(seed=0):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for base in range(25):
+        words = rng.choices(vocabulary, k=rng.randint(60, 400))
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(6):
+            copy = words[:]
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def test_verified_groups_catch_near_copies_and_nothing_else(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    for leaf in (simhash.WIDE_LEAF, 3):
+        monkeypatch.setattr(simhash, "WIDE_LEAF", leaf)
+        component = {r.doc_id: r.component_id for r in simhash.verified_groups(docs).collect()}
+        near = [(a, b, jaccard(s, t)) for a, s in rows for b, t in rows if a // 7 == b // 7 and a < b]
+        high = [component[a] == component[b] for a, b, j in near if j >= 0.9]
+        assert sum(high) >= 0.97 * len(high)
+        for a, s in rows:
+            for b, t in rows:
+                if a < b and component[a] == component[b]:
+                    assert a // 7 == b // 7
+        assert all(component[a] == component[b] for a, b, j in near if j == 1.0)
+
+
+def test_joined_groups_hold_both(spark):
+    rows = near_copies(3)[:70] + [(900, None), (901, ""), (902, "same words"), (903, "Same  WORDS")]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    one, two, both = ({r.doc_id: r.component_id for r in f(docs).collect()} for f in (simhash.groups, simhash.verified_groups, simhash.joined_groups))
+    ids = [i for i, _ in rows]
+    for a in ids:
+        for b in ids:
+            if one[a] == one[b] or two[a] == two[b]:
+                assert both[a] == both[b]
+    assert both[900] == both[901] == 900 and both[902] == both[903] == 902
+    assert all(min(i for i in ids if both[i] == c) == c for c in both.values())
+
+
+def test_sketches_measure_similarity():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(1200)]
+    other = words[:]
+    for _ in range(20):
+        other[rng.randrange(1200)] = "new"
+    a, b = " ".join(words), " ".join(other)
+    got = simhash.similarity(simhash.sketch(simhash.words(a)), simhash.sketch(simhash.words(b)))
+    assert abs(got - jaccard(a, b)) < 0.12 and simhash.similarity(b"", b"") == 1.0
+    short = "a b c d e f g"
+    assert simhash.similarity(simhash.sketch(simhash.words(short)), simhash.sketch(simhash.words(short + " h"))) == pytest.approx(0.75)
