@@ -155,3 +155,26 @@ def test_stream_gives_what_batch_gives(spark, frame, tmp_path):
     want, start = expected(), dt.datetime(2024, 1, 1)
     got = {(r.symbol, (r.date - start).days): np.float32(r.features) for r in spark.table("streamed").collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-5) for k in got)
+
+
+def test_engines_one_by_one(spark):
+    from tidemark.plans.engines import ENGINES, KernelEngine, SignatureEngine, map_windows
+
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i == 3 else rng.normal(size=12 if i % 2 else 30).tolist(), rng.normal(size=12 if i % 2 else 30).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, w array<double>, v array<double>").repartition(3)
+    for name, kind in ENGINES.items():
+        engine = kind(kernels=12)
+        got = {r.k: r.features for r in engine.transform(df, "w").collect()}
+        assert got[3] is None
+        for k, w, _ in rows:
+            if w is not None:
+                want, names = engine.compute(np.float32([w, w]).astype(float))
+                assert np.allclose(got[k], np.float32(want[0]), rtol=1e-5, atol=1e-6) and len(names) == engine.n_features(len(w)), name
+    two = SignatureEngine(depth=2)
+    assert len(two.transform(df, "w", "v").where("k = 0").first().features) == two.info(2)["features"] == 12
+    assert SignatureEngine(leadlag=True, depth=2).info(1)["features"] == 20
+    some = KernelEngine(kernels=9, least_variance=0.0)
+    flat = np.full((4, 30), 2.0)
+    assert some.compute(flat)[0].shape == (4, 0) and KernelEngine(kernels=9).info(spark, 30).agg(F.sum("kernels")).first()[0] == 9
+    assert map_windows(df, ["w"], lambda x: x.max(axis=1, keepdims=True)).where("k = 0").first().features[0] == np.float32(max(rows[0][1]))

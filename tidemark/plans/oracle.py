@@ -103,6 +103,12 @@ def spectrum() -> dict[str, str]:
     out |= {f"ts_welch_density_{c}": f"p[{c + 1}] / pp" if c < 11 else "0" for c in (2, 5, 8, 12, 20, 30)}
     out |= {"ts_power_low": f"{total('p[i]', 1, 4)} / pp", "ts_power_mid": f"{total('p[i]', 4, 7)} / pp", "ts_power_high": f"{total('p[i]', 7, 12)} / pp", "ts_peak_freq": "(list_position(p, list_max(p)) - 1) / 11.0"}
     out |= {"ts_zero_crossing": count("w[i] * w[i + 1] < 0", 1, 20), "ts_mean_crossing": count("xc[i] * xc[i + 1] < 0", 1, 20)}
+    digits = f"[CAST(floor(greatest(abs(x), {EPS}) / pow(10, floor(log10(greatest(abs(x), {EPS}))))) AS INTEGER) FOR x IN w]"
+    seen = f"[len(list_filter({digits}, lambda q: q = y)) / {T}.0 - {1 / 9!r} FOR y IN range(1, 10)]"
+    law = [math.log10(1 + 1 / k) for k in range(1, 10)]
+    law = [v - sum(law) / 9 for v in law]
+    product = " + ".join(f"{seen}[{k + 1}] * {v!r}" for k, v in enumerate(law))
+    out["ts_benford_corr"] = f"({product}) / (greatest(sqrt(list_sum([y * y FOR y IN {seen}])), {EPS}) * {math.sqrt(sum(v * v for v in law))!r})"
     return out
 
 
@@ -115,7 +121,7 @@ def disorder() -> dict[str, str]:
     out = {}
     for name, r in (("ts_sample_entropy", 0.2), ("ts_approx_entropy_r0.1", 0.1), ("ts_approx_entropy_r0.3", 0.3), ("ts_approx_entropy_r0.5", 0.5)):
         out[name] = f"-ln(greatest({matches(3, r)}, {EPS}) / greatest({matches(2, r)}, {EPS}))"
-    for order in (3, 5):
+    for order in (3, 5, 7):
         rank = lambda j, n=order: " + ".join(f"(CASE WHEN w[i + {a}] < w[i + {j}] OR (w[i + {a}] = w[i + {j}] AND {a} < {j}) THEN 1 ELSE 0 END)" for a in range(n) if a != j)
         codes = f"[{' + '.join(f'({rank(j)}) * {order**j}' for j in range(order))} FOR i IN range(1, {T - order + 2})]"
         n = T - order + 1

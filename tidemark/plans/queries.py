@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.features import feature_names
 from tidemark.operators import panel, windows
+from tidemark.operators.select import column_profile, correlations, select_features
 from tidemark.plans import oracle
 from tidemark.plans.engine import attach
+from tidemark.plans.engines import KernelEngine, StatisticsEngine
 from tidemark.spec import FeatureConfig, SeriesSpec
 
 WINDOW = 20
@@ -117,6 +119,49 @@ def significant(column, digits: int):
     return F.round(column.cast("double"), digits) + F.lit(0.0)
 
 
+def engine_on_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistical engine on ready-made windows: the embeddings' arrays, of 64 values each."""
+    engine = StatisticsEngine(wide=False)
+    at = {n: i for i, n in enumerate(engine.names(64))}
+    rows = engine.transform(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "embedding")
+    wanted = {"ts_mean": "mean", "ts_std": "std", "ts_median": "median", "ts_abs_energy": "energy", "ts_range": "spread", "ts_abs_sum_changes": "changes"}
+    return rows.select("vec_id", *[significant(F.col("features")[at[n]], 4).alias(label) for n, label in wanted.items()])
+
+
+def kernel_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernels of the default bank by length."""
+    return KernelEngine().info(spark, WINDOW).select("length", "kernels", "least_dilation", "most_dilation")
+
+
+SELECTED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "twice", "fixed", "holes")
+
+
+def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    number = lambda c: F.col(c).cast("double")
+    extra = {"twice": number("l_extendedprice") * 2 + number("l_tax"), "fixed": F.lit(3.0), "holes": F.when(F.col("l_linenumber") == 1, number("l_tax")).otherwise(F.lit(float("nan")))}
+    return raw.select(*[number(c).alias(c) for c in SELECTED[:4]], *[v.alias(n) for n, v in extra.items()])
+
+
+def selection_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing share and variance by column."""
+    rows = [(n, gone, spread) for n, (gone, spread) in zip(SELECTED, column_profile(measures(spark, sf_dir), list(SELECTED)), strict=True)]
+    return spark.createDataFrame(rows, "name string, missing double, variance double").select("name", rounded(F.col("missing")).alias("missing"), F.round("variance", 1).alias("variance"))
+
+
+def selection_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of all pairs of columns that vary."""
+    names = list(SELECTED[:5])
+    matrix = correlations(measures(spark, sf_dir), names)
+    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return spark.createDataFrame(rows, "a string, b string, r double").select("a", "b", rounded(F.col("r"), 5).alias("r"))
+
+
+def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that are kept."""
+    return spark.createDataFrame([(n,) for n in select_features(measures(spark, sf_dir), list(SELECTED))], "name string")
+
+
 def family(name: str, found: dict[str, str], cfg: FeatureConfig, prefix: str = "value_", digits: int = 4):
     """The query of one family of features, under the labels that its SQL uses."""
     wanted = oracle.labels({n: "" for n in found}, prefix)
@@ -162,10 +207,29 @@ QUERIES = {
     "panel_dense": panel_dense,
     "panel_round_trip": panel_round_trip,
     "series_arrays": series_arrays,
+    "engine_on_arrays": engine_on_arrays,
+    "kernel_info": kernel_info,
+    "selection_profile": selection_profile,
+    "selection_correlations": selection_correlations,
+    "selection": selection,
     **_Q,
 }
 _DAILY = "d AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, CAST(CAST(sum(o_totalprice) AS FLOAT) AS DOUBLE) AS close FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1, 2)"
+_MEASURES = """m AS (SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax,
+  CAST(l_extendedprice AS DOUBLE) * 2 + CAST(l_tax AS DOUBLE) AS twice, 3.0::DOUBLE AS fixed, CASE WHEN l_linenumber = 1 THEN CAST(l_tax AS DOUBLE) END AS holes FROM lineitem)"""
+_PAIRS = [(a, b) for i, a in enumerate(SELECTED[:5]) for b in SELECTED[i + 1 : 5]]
+_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS name, 1 - count({c}) / count(*)::DOUBLE AS gone, var_samp({c}) AS spread, {k} AS k FROM m" for k, c in enumerate(SELECTED))
 ORACLES = {
+    "engine_on_arrays": """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS w FROM embeddings)
+SELECT vec_id, """ + ", ".join(f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {n}" for n, v in {"mean": "list_avg(w)", "std": "list_stddev_samp(w)", "median": "list_sort(w)[32]", "energy": "list_sum([x * x FOR x IN w])", "spread": "list_max(w) - list_min(w)", "changes": "list_sum([abs(w[i + 1] - w[i]) FOR i IN range(1, 64)])"}.items()) + " FROM e",
+    "kernel_info": "SELECT * FROM (VALUES (7, 84::BIGINT, 1, 2), (9, 83::BIGINT, 1, 1), (11, 83::BIGINT, 1, 1)) AS t(length, kernels, least_dilation, most_dilation)",
+    "selection_profile": f"WITH {_MEASURES} SELECT name, round(gone, 6) + 0.0 AS missing, round(spread, 1) AS variance FROM ({_PROFILE})",
+    "selection_correlations": f"WITH {_MEASURES} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 5) + 0.0 AS r FROM m" for a, b in _PAIRS),
+    "selection": f"""WITH RECURSIVE {_MEASURES}, p AS ({_PROFILE}), c AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM m" for a, b in _PAIRS)}),
+left_over AS (SELECT name, row_number() OVER (ORDER BY k) AS n FROM p WHERE gone <= 0.5 AND spread > 1e-8),
+g AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS kept UNION ALL
+  SELECT l.n, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.b = l.name AND list_contains(g.kept, c.a) AND c.r > 0.95) THEN g.kept ELSE list_append(g.kept, l.name) END FROM g JOIN left_over l ON l.n = g.n + 1)
+SELECT unnest(kept) AS name FROM (SELECT kept FROM g ORDER BY n DESC LIMIT 1)""",
     "rolling_slice": f"""WITH {_EVENTS}, n AS (SELECT *, row_number() OVER ({_ORDER}) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM e),
 w AS (SELECT *, avg(x) OVER f AS mean, stddev_samp(x) OVER f AS std, min(x) OVER f AS low, max(x) OVER f AS high, quantile_disc(x, 0.5) OVER f AS median, regr_slope(x, rn) OVER f AS slope
   FROM n WINDOW f AS ({_ORDER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
