@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, jpeg, langid, licenses, packing, pii, piece, quality, secret_scan, simhash
+from tidemark.llm import ann, jpeg, langid, licenses, oracle, packing, pii, piece, quality, secret_scan, simhash
 from tidemark.llm.common import crc_of_id, table
 
 
@@ -77,4 +77,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracle.ORACLES
