@@ -8,8 +8,8 @@ sums.  The posterior odds are the classifier's odds times the site's odds over t
 
 Scale.  The classifier is fitted on at most about ``sample`` labelled rows, chosen by a hash of the id.  Scores are
 computed once and kept (ids and numbers, no text); sums by site are partial aggregates, so one host with a third of
-all rows is one row after the map side.  The site table joins back under Spark's own choice of join, with its size
-known; a hot host is split by adaptive execution.
+all rows is one row after the map side.  The site table joins back as a broadcast while its summed size allows; beyond that
+as a shuffle join, in which adaptive execution splits a hot host.
 
 Edge cases.  Null or empty text has all statistics at zero and is scored like any other.  A null source is the site
 ``""``.  Labels that are null, or that belong to no document, are ignored; without labels of both kinds every document
@@ -37,6 +37,9 @@ BINS = 16
 #: Documents with a posterior below this are rejected.  Below one half, as a lost clean document costs more than a kept poor one.
 REJECT_BELOW = 0.25
 
+#: Bytes of site rows up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
+
 _CLASSES = np.zeros(256, dtype=np.uint8)
 _CLASSES[97:123], _CLASSES[65:91], _CLASSES[48:58] = 1, 2, 3
 _CLASSES[[9, 10, 11, 12, 13, 32]], _CLASSES[[44, 46]], _CLASSES[124], _CLASSES[128:] = 4, 5, 6, 7
@@ -153,9 +156,13 @@ def strength(groups: DataFrame, parent: str) -> float:
 
 @dataclass
 class Sites:
-    """Sums by host and path, the global rate, and how many documents a parent's rate is worth."""
+    """Sums by host and path, the global rate, and how many documents a parent's rate is worth.
+
+    ``size`` is the table's size in bytes, as summed over its rows.
+    """
 
     table: DataFrame
+    size: int
     rate: float
     host_worth: float
     path_worth: float
@@ -171,13 +178,16 @@ def sites(scored: DataFrame) -> Sites:
     shrunk = (F.col("s") + host_worth * rate) / (F.col("n") + host_worth)
     hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), shrunk.alias("host_rate"))
     both = cut(paths.join(hosts, "host"))
-    return Sites(both, rate, host_worth, strength(both, "host_rate"))
+    size = both.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64).alias("size")).first().size or 0
+    return Sites(both, size, rate, host_worth, strength(both, "host_rate"))
 
 
 def posterior(scored: DataFrame, known: Sites) -> DataFrame:
     """``scored`` with ``p_site`` and ``score``; the site's sums leave the document itself out."""
     own = [c for c in scored.columns if c not in ("host", "path")]
-    joined = scored.join(known.table, ["host", "path"])
+    # a small table of sites goes to every task, so that neither texts nor a hot host are dealt by site
+    table = F.broadcast(known.table) if known.size <= BROADCAST_BYTES else known.table
+    joined = scored.join(table, ["host", "path"])
     host_rate = (F.col("host_s") - F.col("p_doc") + known.host_worth * known.rate) / (F.col("host_n") - 1 + known.host_worth)
     path_rate = (F.col("s") - F.col("p_doc") + known.path_worth * host_rate) / (F.col("n") - 1 + known.path_worth)
     bounded = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
