@@ -23,7 +23,7 @@ def channel_features(w: Windows, cfg: FeatureConfig, engine: str) -> tuple[list[
                 "kernels": lambda: kernel_features(w.x, cfg.kernels, cfg.seed),
                 "canonical": lambda: canonical(w),
                 "wavelets": lambda: wavelet_features(w, cfg.wavelets, cfg.levels),
-                "statistics": lambda: bank(w, cfg.wide, coefficients=cfg.coefficients, lags=cfg.lags),
+                "statistics": lambda: bank(w, cfg.wide, coefficients=cfg.coefficients, lags=cfg.lags, families=cfg.families),
             }[engine]()
         )
 

@@ -292,10 +292,12 @@ FAMILIES = {
 }
 
 
-def bank(w: Windows, wide: bool = True, *, coefficients: int = 50, lags: tuple[int, ...] | None = None) -> Features:
-    """All eight families, in order."""
+def bank(w: Windows, wide: bool = True, *, coefficients: int = 50, lags: tuple[int, ...] | None = None, families: tuple[str, ...] = ()) -> Features:
+    """All eight families, in order, or only those named."""
     out: Features = {}
     for name, family in FAMILIES.items():
+        if families and name not in families:
+            continue
         extra = {"spectrum": {"coefficients": coefficients}, "memory": {"lags": lags}}.get(name, {})
         out |= family(w, wide, **extra)
     return out

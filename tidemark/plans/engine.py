@@ -21,23 +21,41 @@ PART, ROW, TOTAL, HALO = "__part", "__row", "__rows", "__halo"
 
 
 def _floats(column) -> np.ndarray:
-    values = pc.cast(column, pa.float32(), safe=False).to_numpy(zero_copy_only=False) if not isinstance(column, pa.ChunkedArray) else pc.cast(column, pa.float32(), safe=False).to_numpy()
-    return np.nan_to_num(values.astype(np.float64), nan=np.nan, posinf=np.inf, neginf=-np.inf)
-
-
-def series_matrix(table: pa.Table, spec: SeriesSpec, cfg: FeatureConfig, width: int, rows: int, usable: bool) -> np.ndarray:
-    """``[rows, features]`` of one ordered (part of a) series; zero where no full window ends."""
-    out = np.zeros((table.num_rows, width), dtype=np.float32)
-    if not usable or rows < cfg.window + cfg.min_extra or table.num_rows < cfg.window:
+    """A channel in single precision, held as double; null becomes NaN."""
+    return pc.cast(column, pa.float32(), safe=False).to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where a series begins: the first row, and every row whose key differs from the one before; null keys stand alone."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[:1] = True
+    for key in keys:
+        column = batch.column(batch.schema.get_field_index(key))
+        changed = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)), True)
+        new[1:] |= changed.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def features_of(batch: pa.RecordBatch, keys: list[str], spec: SeriesSpec, cfg: FeatureConfig, width: int) -> np.ndarray:
+    """``[rows, features]`` of ordered whole series (or parts), many at a time; zero where no full window ends."""
+    out = np.zeros((batch.num_rows, width), dtype=np.float32)
+    starts = _starts(batch, keys)
+    sizes = np.diff(np.r_[starts, batch.num_rows])
+    place = batch.schema.get_field_index(TOTAL)
+    rows = batch.column(place).to_numpy() if place >= 0 else np.repeat(sizes, sizes)
+    known = ~batch.column(batch.schema.get_field_index(spec.entity)).is_null().to_numpy(zero_copy_only=False)
+    at = np.arange(batch.num_rows) - np.repeat(starts, sizes)
+    ends = np.flatnonzero(known & (at >= cfg.window - 1) & (rows >= cfg.window + cfg.min_extra))
+    if not len(ends):
         return out
-    views = {c: np.lib.stride_tricks.sliding_window_view(_floats(table.column(c)), cfg.window) for c in spec.numeric}
-    for start in range(0, table.num_rows - cfg.window + 1, STEP):
-        part = {c: v[start : start + STEP] for c, v in views.items()}
-        values = compute(part, cfg, spec.channels, spec.signature_channels)[1]
+    views = {c: np.lib.stride_tricks.sliding_window_view(_floats(batch.column(batch.schema.get_field_index(c))), cfg.window) for c in spec.numeric}
+    for start in range(0, len(ends), STEP):
+        chosen = ends[start : start + STEP]
+        values = compute({c: v[chosen - cfg.window + 1] for c, v in views.items()}, cfg, spec.channels, spec.signature_channels)[1]
         with np.errstate(over="ignore"):
             narrow = values.astype(np.float32)
         narrow[~np.isfinite(narrow)] = 0.0
-        out[start + cfg.window - 1 : start + cfg.window - 1 + len(values)] = narrow
+        out[chosen] = narrow
     return out
 
 
@@ -54,32 +72,52 @@ def attach(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, packed: str |
     entity = F.col(f"`{spec.entity}`")
     counts = df.where(entity.isNotNull()).groupBy(entity.alias("e")).agg(F.count("*").alias("n"))
     long = cut(counts.where(F.col("n") > part_rows))
-    columns, order = df.columns, [(c, "ascending") for c in spec.order]
-
-    def append(table: pa.Table, matrix: np.ndarray) -> pa.Table:
-        out = table.select(columns)
-        if packed:
-            offsets = pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], type=pa.int32())
-            return out.append_column(packed, pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()), type=pa.list_(pa.field("element", pa.float32(), nullable=False))))
-        arrays = [pa.array(np.ascontiguousarray(matrix[:, j])) for j in range(len(names))]
-        return pa.table([*out.columns, *arrays], names=[*columns, *names])
-
-    def whole(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        usable = table.num_rows > 0 and table.column(spec.entity)[0].as_py() is not None
-        return append(table, series_matrix(table, spec, cfg, len(names), table.num_rows, usable))
-
-    def part(table: pa.Table) -> pa.Table:
-        table = table.sort_by(ROW)
-        matrix = series_matrix(table, spec, cfg, len(names), table.column(TOTAL)[0].as_py(), True)
-        own = pc.invert(table.column(HALO))
-        return append(table.filter(own), matrix[own.to_numpy()])
+    columns = df.columns
+
+    def finished(batch: pa.RecordBatch, keys: list[str]):
+        if not batch.num_rows:
+            return
+        matrix = features_of(batch, keys, spec, cfg, len(names))
+        place = batch.schema.get_field_index(HALO)
+        if place >= 0:
+            own = pc.invert(batch.column(place))
+            batch, matrix = batch.filter(own), matrix[own.to_numpy(zero_copy_only=False)]
+        for start in range(0, batch.num_rows, STEP):
+            rows, values = batch.slice(start, STEP), matrix[start : start + STEP]
+            if packed:
+                offsets = pa.array(np.arange(len(values) + 1) * values.shape[1], type=pa.int32())
+                arrays = [pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), type=pa.list_(pa.field("element", pa.float32(), nullable=False)))]
+            else:
+                arrays = [pa.array(np.ascontiguousarray(values[:, j])) for j in range(len(names))]
+            kept = [rows.column(rows.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*columns, *([packed] if packed else names)])
+
+    def appended(rows: DataFrame, deal: list, keys: list[str], order: list[str]) -> DataFrame:
+        """One shuffle and sort; series that a batch does not finish wait for the next one."""
+
+        def run(batches):
+            held = None
+            for batch in batches:
+                batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                if not batch.num_rows:
+                    continue
+                last = int(_starts(batch, keys)[-1])
+                yield from finished(batch.slice(0, last), keys)
+                held = batch.slice(last)
+            if held is not None:
+                yield from finished(held, keys)
+
+        # a fixed number of partitions: adaptive execution would put small tables into one task, but the kernels are costly
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sorted_rows = rows.repartition(partitions, *deal).sortWithinPartitions(*[F.col(f"`{c}`") for c in (*keys, *order)])
+        return sorted_rows.mapInArrow(run, schema)
 
     if long.isEmpty():
-        return df.groupBy(_null_spread(df, entity)).applyInArrow(whole, schema)
+        return appended(df, [_null_spread(df, entity)], [spec.entity], list(spec.order))
     short = df.join(long.select(F.col("e").alias(spec.entity)), spec.entity, "left_anti").select(*columns)
     cut_up = _parts(df.join(long, entity == long["e"], "inner").drop("e"), spec, cfg.window, part_rows)
-    return short.groupBy(_null_spread(short, F.col(f"`{spec.entity}`"))).applyInArrow(whole, schema).unionByName(cut_up.groupBy(f"`{spec.entity}`", PART).applyInArrow(part, schema))
+    parts = appended(cut_up, [entity, F.col(PART)], [spec.entity, PART], [ROW])
+    return appended(short, [_null_spread(short, entity)], [spec.entity], list(spec.order)).unionByName(parts)
 
 
 def _null_spread(df: DataFrame, entity):

@@ -170,12 +170,11 @@ def family(name: str, found: dict[str, str], cfg: FeatureConfig, prefix: str = "
 
 def _families() -> tuple[dict, dict]:
     queries, sql = {}, {}
-    bank = FeatureConfig(WINDOW, ("statistics",))
     for name in ("moments", "memory", "spectrum", "disorder", "trend", "counts", "corridors", "advanced"):
         found = getattr(oracle, name)()
         extra, source = (oracle.SPECTRUM, "va") if name in ("spectrum", "disorder") else ("", "k")
-        digits = 6 if name == "trend" else 4  # means of slopes of two-digit values often end in a five at the fifth digit
-        queries[f"features_{name}"] = family(name, found, bank, digits=digits)
+        digits = 5 if name == "trend" else 4  # means of slopes of two-digit values often end in a five at the fifth digit
+        queries[f"features_{name}"] = family(name, found, FeatureConfig(WINDOW, engines=("statistics",), families=(name,)), digits=digits)
         sql[f"features_{name}"] = oracle.query(oracle.renamed(found), extra, source, digits)
     found = oracle.canonical()
     del found["_thirds"]

@@ -32,7 +32,7 @@ class SeriesSpec:
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """Window length, engines and their parameters."""
+    """Window length, engines and their parameters; ``families`` limits the statistical bank to some of its families."""
 
     window: int = 20
     engines: tuple[str, ...] = ENGINES
@@ -48,6 +48,7 @@ class FeatureConfig:
     leadlag: bool = False
     normalize: bool = True
     min_extra: int = 5
+    families: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.window < 2:
