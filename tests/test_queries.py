@@ -28,7 +28,7 @@ def test_query_agrees_with_sql(spark, name):
     columns = sorted(out.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     got = [tuple(r) for r in out.select(*columns).collect()]
-    keys = [i for i, c in enumerate(columns) if c in ("event_id", "user_id", "symbol", "date", "o_custkey", "l_suppkey", "vec_id", "name", "length", "a", "b", "doc_id", "query_id", "rank")]
+    keys = [i for i, c in enumerate(columns) if c in ("event_id", "user_id", "symbol", "date", "o_custkey", "l_suppkey", "vec_id", "name", "length", "a", "b", "doc_id", "query_id", "rank", "o_orderkey")]
     order = lambda r: tuple(r[i] for i in keys)
     assert len(got) == len(want)
     for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):

@@ -10,6 +10,7 @@ from tidemark.operators.select import select_features
 from tidemark.operators.validate import validate
 from tidemark.operators.windows import numbered
 from tidemark.plans.engine import attach
+from tidemark.plans.shared import written
 from tidemark.spec import FeatureConfig, SeriesSpec
 
 
@@ -56,7 +57,7 @@ def generate_features(
         prefix = f"w{size}_" if multi_window else ""
         names = list(feature_names(cfg, spec.channels, spec.signature_channels))
         if feature_selection == "auto" and not packed:
-            out = attach(out, spec, cfg)
+            out = written(attach(out, spec, cfg))  # selection passes over it; features are computed once
             names = chosen(out, spec, cfg, names, correlation_threshold)
             wanted = {n: n for n in names}
         else:

@@ -22,8 +22,17 @@ def column_profile(df: DataFrame, names: list[str]) -> list[tuple[float, float]]
 
 
 def correlations(df: DataFrame, names: list[str]) -> np.ndarray:
-    """Correlation matrix with missing values as zero.  Each task sums its products; only their sums are collected."""
+    """Correlation matrix with missing values as zero.
+
+    Each task sums its products to one row per column; rows of a column are added up as a sorted stream, and only the
+    sums (columns by columns) reach the driver.
+    """
     n = len(names)
+    fields = ["i", "rows", "total", "products"]
+    schema = "i int, rows long, total double, products array<double>"
+
+    def batch_of(i, rows, total, products):
+        return pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), pa.array([rows], type=pa.int64()), pa.array([total]), pa.array([products])], names=fields)
 
     def sums(batches):
         gram, total, rows = np.zeros((n, n)), np.zeros(n), 0
@@ -34,15 +43,26 @@ def correlations(df: DataFrame, names: list[str]) -> np.ndarray:
             rows += len(x)
         if rows:
             for i in range(n):
-                yield pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), pa.array([gram[i]]), pa.array([total[i]]), pa.array([rows], type=pa.int64())], names=["i", "row", "total", "rows"])
+                yield batch_of(i, rows, float(total[i]), gram[i])
+
+    def added(batches):
+        at, rows, total, products = None, 0, 0.0, np.zeros(n)
+        for batch in batches:
+            values = batch.column(3).flatten().to_numpy().reshape(-1, n)
+            for k, (i, r, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if i != at:
+                    if at is not None:
+                        yield batch_of(at, rows, total, products)
+                    at, rows, total, products = i, 0, 0.0, np.zeros(n)
+                rows, total = rows + r, total + t
+                products += values[k]
+        if at is not None:
+            yield batch_of(at, rows, total, products)
 
-    parts = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(names)]).mapInArrow(sums, "i int, row array<double>, total double, rows long")
-    cells = parts.select("i", "total", "rows", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum(F.when(F.col("j") == 0, F.col("total"))).alias("total"), F.sum("rows").alias("rows"))
+    parts = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(names)]).mapInArrow(sums, schema)
     gram, total, rows = np.zeros((n, n)), np.zeros(n), 0
-    for r in cells.collect():
-        gram[r.i, r.j], rows = r.v, r.rows
-        if r.j == 0:
-            total[r.i] = r.total
+    for r in parts.repartition(F.col("i")).sortWithinPartitions("i").mapInArrow(added, schema).collect():
+        gram[r.i], total[r.i], rows = r.products, r.total, r.rows
     mean = total / max(rows, 1)
     covariance = gram / max(rows, 1) - np.outer(mean, mean)
     deviation = np.sqrt(np.maximum(np.diag(covariance), 1e-10))

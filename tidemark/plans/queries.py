@@ -133,6 +133,28 @@ def kernel_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KernelEngine().info(spark, WINDOW).select("length", "kernels", "least_dilation", "most_dilation")
 
 
+def short_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer: nearly all series are too short, and all their rows stay, with zeros."""
+    spec = SeriesSpec("o_custkey", "o_orderdate", ("o_totalprice",), (), ("o_orderkey",))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    cfg = FeatureConfig(5, engines=("statistics",), families=("moments",))
+    names = feature_names(cfg, spec.channels, ())
+    value = lambda n: F.round(F.col("f")[names.index(f"o_totalprice_{n}")].cast("double"), 1)
+    return attach(rows, spec, cfg, packed="f").select("o_orderkey", value("ts_mean").alias("mean"), value("ts_maximum").alias("most"))
+
+
+def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by supplier, cut into overlapping parts of 256 rows: the same windows as in one piece."""
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    spec = SeriesSpec("l_suppkey", "l_shipdate", ("l_quantity",), (), order)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", *order, F.col("l_quantity").cast("double").alias("l_quantity"))
+    cfg = FeatureConfig(10, engines=("statistics",), families=("moments",))
+    names = feature_names(cfg, spec.channels, ())
+    out = attach(rows, spec, cfg, packed="f", part_rows=256)
+    total = lambda n: F.round(F.sum(F.round(F.col("f")[names.index(f"l_quantity_{n}")].cast("double"), 3)), 2) + F.lit(0.0)
+    return out.groupBy("l_suppkey").agg(F.count("*").alias("n"), total("ts_mean").alias("mean"), total("ts_minimum").alias("least"), total("ts_median").alias("median"))
+
+
 SELECTED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "twice", "fixed", "holes")
 
 
@@ -206,6 +228,8 @@ QUERIES = {
     "panel_dense": panel_dense,
     "panel_round_trip": panel_round_trip,
     "series_arrays": series_arrays,
+    "short_series": short_series,
+    "long_series": long_series,
     "engine_on_arrays": engine_on_arrays,
     "kernel_info": kernel_info,
     "selection_profile": selection_profile,
@@ -221,6 +245,14 @@ _PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS name, 1 - count({c}) / count(*):
 ORACLES = {
     "engine_on_arrays": """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS w FROM embeddings)
 SELECT vec_id, """ + ", ".join(f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {n}" for n, v in {"mean": "list_avg(w)", "std": "list_stddev_samp(w)", "median": "list_sort(w)[32]", "energy": "list_sum([x * x FOR x IN w])", "spread": "list_max(w) - list_min(w)", "changes": "list_sum([abs(w[i + 1] - w[i]) FOR i IN range(1, 64)])"}.items()) + " FROM e",
+    "short_series": """WITH e AS (SELECT o_orderkey, o_custkey, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS x, o_orderdate FROM orders),
+w AS (SELECT o_orderkey, avg(x) OVER f AS mean, max(x) OVER f AS most, row_number() OVER s AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM e
+  WINDOW s AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), f AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT o_orderkey, round(CASE WHEN rn >= 5 AND n >= 10 THEN CAST(CAST(mean AS FLOAT) AS DOUBLE) ELSE 0.0 END, 1) AS mean, round(CASE WHEN rn >= 5 AND n >= 10 THEN most ELSE 0.0 END, 1) AS most FROM w""",
+    "long_series": """WITH e AS (SELECT l_suppkey, CAST(CAST(l_quantity AS FLOAT) AS DOUBLE) AS x, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem),
+w AS (SELECT l_suppkey, row_number() OVER s AS rn, avg(x) OVER f AS mean, min(x) OVER f AS least, quantile_disc(x, 0.5) OVER f AS median FROM e
+  WINDOW s AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice), f AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT l_suppkey, count(*) AS n, round(sum(CASE WHEN rn >= 10 THEN round(mean, 3) ELSE 0 END), 2) + 0.0 AS mean, round(sum(CASE WHEN rn >= 10 THEN least ELSE 0 END), 2) + 0.0 AS least, round(sum(CASE WHEN rn >= 10 THEN median ELSE 0 END), 2) + 0.0 AS median FROM w GROUP BY 1""",
     "kernel_info": "SELECT * FROM (VALUES (7, 84::BIGINT, 1, 2), (9, 83::BIGINT, 1, 1), (11, 83::BIGINT, 1, 1)) AS t(length, kernels, least_dilation, most_dilation)",
     "selection_profile": f"WITH {_MEASURES} SELECT name, round(gone, 6) + 0.0 AS missing, round(spread, 1) AS variance FROM ({_PROFILE})",
     "selection_correlations": f"WITH {_MEASURES} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 5) + 0.0 AS r FROM m" for a, b in _PAIRS),
