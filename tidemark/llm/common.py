@@ -62,6 +62,14 @@ def map_batches(df: DataFrame, body: Callable[[Iterator[dict]], Iterator[dict]],
     return df.mapInArrow(run, schema)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made, through the store's own file system."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``BATCH_BYTES``."""
     for batch in batches:
