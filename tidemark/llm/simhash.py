@@ -14,7 +14,7 @@ first), never all pairs.  Components grow by least labels with pointer jumping,
 
 Verified groups.  ``verified_groups`` takes the usual bar for near copies, a Jaccard similarity of 0.8 of five-word
 shingles.  Such pairs differ in more bits than two, so it fingerprints the set of single words, which a few edits
-change least, and allows five bits: three segments of 21 bits, one of which differs by at most one.  Too large runs
+change least, twice, and allows five bits: three segments of 21 bits, one of which differs by at most one.  Too large runs
 go on with the segments that are left, in pieces of 14 and then 9 bits.  Close pairs are then verified: their
 similarity is computed from the 128 smallest shingle hashes of each text (exact up to 128 shingles).  Texts equal word
 by word are one node from the start.
@@ -27,6 +27,7 @@ non-null ``doc_id`` in it.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def fingerprint(tokens: list[bytes], size: int) -> int:
+def fingerprint(tokens: list[bytes], size: int, seed: int = SEED) -> int:
     """The majority fingerprint as a signed 64-bit integer."""
     if not tokens:
         return 0
@@ -62,7 +63,7 @@ def fingerprint(tokens: list[bytes], size: int) -> int:
     for first in range(0, n, CHUNK):
         part = tokens[first : min(n, first + CHUNK) + size - 1]
         shifted = [part[k:] for k in range(size)] if len(part) >= size else [[join(part)]]
-        hashes = b"".join([digest(join(s), SEED) for s in zip(*shifted, strict=False)])
+        hashes = b"".join([digest(join(s), seed) for s in zip(*shifted, strict=False)])
         ones += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
@@ -223,6 +224,8 @@ def groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = MAX_BITS) -> Da
 
 #: Verified groups: words per shingle, least similarity, differing bits of candidates, and hashes kept of a text.
 SHINGLE, SIMILARITY, WIDE_BITS, SKETCH = 5, 0.8, 5, 128
+#: Fingerprints of a text with hashes of their own; a pair that one misses another finds.
+PRINTS_EACH = 2
 #: Members of a run that are compared in memory by ``verified_groups``; only the last level takes larger runs.
 WIDE_LEAF = 16_384
 #: Bits of the segments at each level: three each time, cut from what is left.
@@ -233,7 +236,8 @@ PROFILES = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("content_a", T.LongType()),
         T.StructField("content_b", T.LongType()),
-        T.StructField("print", T.LongType()),
+        T.StructField("print_0", T.LongType()),
+        T.StructField("print_1", T.LongType()),
         T.StructField("sketch", T.BinaryType()),
     ]
 )
@@ -262,7 +266,7 @@ def similarity(a: bytes, b: bytes, kept: int = SKETCH) -> float:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Of every whole text: a hash of its words in order, the fingerprint of its set of words, and its sketch."""
+    """Of every whole text: a hash of its words in order, fingerprints of its set of words, and its sketch."""
 
     def body(batches):
         for batch in batches:
@@ -270,7 +274,9 @@ def profiles(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 tokens = words(text)
                 content = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(tokens)), dtype="<i8")
-                for name, value in zip(out, (doc_id, int(content[0]), int(content[1]), fingerprint(sorted(set(tokens)), 1), sketch(tokens)), strict=True):
+                unique = sorted(set(tokens))
+                prints = [fingerprint(unique, 1, SEED + k) for k in range(PRINTS_EACH)]
+                for name, value in zip(out, (doc_id, int(content[0]), int(content[1]), *prints, sketch(tokens)), strict=True):
                     out[name].append(value)
             yield out
 
@@ -365,7 +371,7 @@ def node_links(nodes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
         rows = found.where("key != -1").select("node", "print", "key", "rest")
         if rows.isEmpty():
             break
-    return links.distinct()
+    return cut(links.distinct())
 
 
 def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -384,8 +390,10 @@ def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> Dat
 def verified_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for every row: texts equal word by word, and verified near copies, fall together."""
     known = cut(profiles(docs))
-    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), F.first("print").alias("print"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
-    labels = components(verify(node_links(nodes), nodes))
+    own = [f"print_{k}" for k in range(PRINTS_EACH)]
+    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*own, "sketch")]).where("node IS NOT NULL"))
+    links = reduce(DataFrame.unionByName, [node_links(nodes.select("node", F.col(c).alias("print"))) for c in own]).distinct()
+    labels = components(verify(links, nodes))
     named = nodes.select("content_a", "content_b", "node").join(labels, "node", "left").select("content_a", "content_b", F.coalesce("label", "node").alias("component_id"))
     return known.select("doc_id", "content_a", "content_b").join(named, ["content_a", "content_b"]).select("doc_id", "component_id")
 
