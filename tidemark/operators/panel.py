@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.windows import single
-from tidemark.spec import SeriesSpec
+from tidemark.spec import SeriesSpec, ValidationError
+
+#: Times of a panel at most: the list of them goes to every task (8 MB), and each entity's row is that long.
+MOST_TIMES = 1_000_000
 
 
 def to_panel(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """A row per entity with its values at all times of the table, in order: arrays ``times``, ``is_valid`` and one per channel.
 
-    Gaps hold NaN.  Only the list of times (one row) meets every entity; the table itself is grouped once.
+    Gaps hold NaN.  Only the list of times (one row) meets every entity; the table itself is grouped once.  A table
+    with more than ``MOST_TIMES`` times has no dense form: it is refused, and stays long.
     """
     known = df.where(F.col(spec.entity).isNotNull() & F.col(spec.time).isNotNull())
+    if (n := known.select(spec.time).distinct().count()) > MOST_TIMES:
+        raise ValidationError(f"{n} different times are too many for a dense panel; narrow the range of times")
     times = known.agg(F.array_sort(F.collect_set(spec.time)).alias("times"))
     own = known.groupBy(spec.entity).agg(F.map_from_entries(F.collect_list(F.struct(F.col(spec.time), F.struct(*[single(c).alias(c) for c in spec.numeric])))).alias("at"))
     wide = own.join(F.broadcast(times))
