@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that one Arrow batch hands to Python at most, where the session sets no bound of its own.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that one Arrow batch hands to Python, unless a single row is longer.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands Python at most ``BATCH_BYTES`` at a time, so that texts of any length need bounded memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df
+
+
 def map_batches(df: DataFrame, body: Callable[[Iterator[dict]], Iterator[dict]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with batches as dicts of Python lists, in and out."""
     wanted = _arrow_schema(schema)
@@ -59,7 +68,7 @@ def map_batches(df: DataFrame, body: Callable[[Iterator[dict]], Iterator[dict]],
         for out in body(columns()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in wanted], schema=wanted)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def discard(df: DataFrame) -> None:
@@ -85,7 +94,7 @@ def keep_rows(df: DataFrame, column: str, verdicts: Callable[[list], list[bool]]
         for part in small_parts(batches):
             yield part.filter(pa.array(verdicts(part.column(column).to_pylist()), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, hashed_fraction, map_batches, small_parts
+from tidemark.llm.common import cut, hashed_fraction, map_batches, small_batches, small_parts
 
 NAMES = (
     "log_words", "word_length", "upper", "digits", "blank", "full_stop_comma", "marks", "bars", "non_ascii", "distinct_words",
@@ -216,4 +216,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000) -> Da
             columns = [*part.columns, pa.array(model.probability(rows))]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "p_doc"])
 
-    return posterior(whole.mapInArrow(run, schema), known).where(F.col("score") >= REJECT_BELOW).select("doc.*")
+    return posterior(small_batches(whole).mapInArrow(run, schema), known).where(F.col("score") >= REJECT_BELOW).select("doc.*")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, map_batches, small_parts
+from tidemark.llm.common import cut, map_batches, small_batches, small_parts
 
 LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
@@ -324,4 +324,4 @@ def redact(docs: DataFrame, model: SecretModel) -> DataFrame:
                     texts[i] = texts[i][:start] + PLACEHOLDER + texts[i][end:]
             yield part.set_column(place, part.schema.field(place), pa.array(texts, type=part.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -357,14 +357,14 @@ def node_links(nodes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
     links = None
     for depth, width in enumerate(WIDTHS):
         mask, low = (1 << width) - 1, (1 << (2 * width)) - 1
-        rest = F.col("rest")
-        left_over = (rest.bitwiseAND(F.lit(low)), F.shiftrightunsigned(rest, 2 * width).bitwiseAND(F.lit(mask)) + F.shiftleft(rest.bitwiseAND(F.lit(mask)), width), F.shiftrightunsigned(rest, width).bitwiseAND(F.lit(low)))
-        variants = []
-        for i, others in zip((2, 1, 0), left_over, strict=True):
-            segment = F.shiftrightunsigned(rest, i * width).bitwiseAND(F.lit(mask))
-            variants += [F.struct((segment.bitwiseAND(F.lit(mask & ~(1 << p))) + F.lit((i * width + p) << width)).alias("code"), others.alias("rest")) for p in range(width)]
-        spread = rows.select("node", "print", "key", F.explode(F.array(*variants)).alias("v"))
-        keyed = spread.select("node", "print", F.col("v.rest").alias("rest"), (F.col("v.code") if not depth else F.shiftrightunsigned(F.xxhash64("key", "v.code"), 1)).alias("key"))
+        # one number says which segment (v div width) and which of its positions; the other two segments are left over
+        at = F.explode(F.sequence(F.lit(0), F.lit(3 * width - 1))).alias("v")
+        which = f"CAST(v div {width} AS INT)"
+        segment = f"(shiftrightunsigned(rest, {which} * {width}) & {mask}L)"
+        code = f"({segment} & ~shiftleft(1L, v % {width})) + shiftleft(CAST(v AS BIGINT), {width})"
+        left_over = f"CASE {which} WHEN 2 THEN rest & {low}L WHEN 1 THEN (shiftrightunsigned(rest, {2 * width}) & {mask}L) + shiftleft(rest & {mask}L, {width}) ELSE shiftrightunsigned(rest, {width}) & {low}L END"
+        spread = rows.select("node", "print", "key", "rest", at).select("node", "print", "key", F.expr(left_over).alias("rest"), F.expr(code).alias("code"))
+        keyed = spread.select("node", "print", "rest", (F.col("code") if not depth else F.shiftrightunsigned(F.xxhash64("key", "code"), 1)).alias("key"))
         found = cut(level(keyed, depth == len(WIDTHS) - 1))
         own = found.where("key = -1").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         links = own if links is None else links.unionByName(own)
