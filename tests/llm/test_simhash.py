@@ -167,3 +167,47 @@ def test_sketches_measure_similarity():
     assert abs(got - jaccard(a, b)) < 0.12 and simhash.similarity(b"", b"") == 1.0
     short = "a b c d e f g"
     assert simhash.similarity(simhash.sketch(simhash.words(short)), simhash.sketch(simhash.words(short + " h"))) == pytest.approx(0.75)
+
+
+def grown(words, rng, vocabulary, edits):
+    copy = words[:]
+    for at in rng.sample(range(len(copy)), edits):
+        copy[at] = rng.choice(vocabulary)
+    return " ".join(copy)
+
+
+def test_failed_links_leave_members_to_the_rest_of_the_run(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = rng.choices(vocabulary, k=250)
+    rows = [(i, grown(base, rng, vocabulary, rng.choice([4, 5]))) for i in range(600)] + [(600, " ".join(base))]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    component = {r.doc_id: r.component_id for r in simhash.verified_groups(docs).collect()}
+    like_base = [i for i, t in rows[:600] if simhash.similarity(*(simhash.sketch(simhash.words(x)) for x in (t, rows[600][1]))) >= 0.8]
+    assert len(like_base) > 400
+    assert sum(component[i] == component[600] for i in like_base) >= 0.99 * len(like_base)
+
+
+def test_linked_spans_what_all_verified_pairs_span():
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    sketches = []
+    for _ in range(6):
+        base = rng.choices(vocabulary, k=rng.choice([40, 200]))
+        sketches += [simhash.sketch(simhash.words(grown(base, rng, vocabulary, rng.randint(0, 5)))) for _ in range(25)]
+    rng.shuffle(sketches)
+    label = list(range(len(sketches)))
+    mine = label[:]
+
+    def join(labels, a, b):
+        old, new = max(labels[a], labels[b]), min(labels[a], labels[b])
+        labels[:] = [new if x == old else x for x in labels]
+
+    for a in range(len(sketches)):
+        for b in range(a):
+            if simhash.similarity(sketches[a], sketches[b]) >= simhash.SIMILARITY:
+                join(label, a, b)
+    for a, b in simhash.linked(sketches, np.arange(len(sketches))):
+        assert simhash.similarity(sketches[a], sketches[b]) >= simhash.SIMILARITY
+        join(mine, a, b)
+    assert mine == label

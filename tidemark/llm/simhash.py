@@ -13,11 +13,12 @@ and no run is unbounded.  Within a run only links that span its verified groups
 first), never all pairs.  Components grow by least labels with pointer jumping, cut at every round.
 
 Verified groups.  ``verified_groups`` takes the usual bar for near copies, a Jaccard similarity of 0.8 of five-word
-shingles.  Such pairs differ in more bits than two, so it fingerprints the set of single words, which a few edits
-change least, twice, and allows five bits: three segments of 21 bits, one of which differs by at most one.  Too large runs
-go on with the segments that are left, in pieces of 14 and then 9 bits.  Close pairs are then verified: their
-similarity is computed from the 128 smallest shingle hashes of each text (exact up to 128 shingles).  Texts equal word
-by word are one node from the start.
+shingles.  Candidates are texts that agree in one of 16 bands of four least hashes of their shingles; a pair at 0.8
+misses all bands with a probability of 0.0002, wherever its texts differ and however long they are.  Their similarity
+is computed from the 128 smallest shingle hashes of each text (exact up to 128 shingles).  All pairs of a small run are
+verified.  In a larger one the sketches are compared in memory, and a member leaves the rest only through a verified
+link, so a run's links connect exactly what its verified pairs connect.  Runs over ``WIDE_LEAF`` are cut by the other
+bands first.  Texts equal word by word are one node from the start.
 
 Edge cases.  Null or wordless text has fingerprint zero and is linked like any other.  Texts with fewer words than a
 shingle hash their whole word sequence.  Repeated rows and ties fall together.  A component's id is the smallest
@@ -26,8 +27,7 @@ non-null ``doc_id`` in it.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -222,38 +222,54 @@ def groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = MAX_BITS) -> Da
     return prints.join(classes, "print").select("doc_id", "print", "component_id")
 
 
-#: Verified groups: words per shingle, least similarity, differing bits of candidates, and hashes kept of a text.
-SHINGLE, SIMILARITY, WIDE_BITS, SKETCH = 5, 0.8, 5, 128
-#: Fingerprints of a text with hashes of their own; a pair that one misses another finds.
-PRINTS_EACH = 2
+#: Verified groups: words per shingle, least similarity, and hashes kept of a text.
+SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 128
+#: Bands of least hashes, and hashes in a band.
+BANDS, BAND_ROWS = 16, 4
+#: Members of a run whose pairs are all verified one by one.
+PAIRED = 32
 #: Members of a run that are compared in memory by ``verified_groups``; only the last level takes larger runs.
 WIDE_LEAF = 16_384
-#: Bits of the segments at each level: three each time, cut from what is left.
-WIDTHS = (21, 14, 9)
+#: Multipliers and increments of the hash functions whose least values make the bands.
+_MIX = np.frombuffer(b"".join(xxhash.xxh64_digest(b"%d" % i, SEED) for i in range(2 * BANDS * BAND_ROWS)), dtype="<u8").reshape(2, -1, 1) | np.uint64(1)
 
 PROFILES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("content_a", T.LongType()),
         T.StructField("content_b", T.LongType()),
-        T.StructField("print_0", T.LongType()),
-        T.StructField("print_1", T.LongType()),
+        T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("sketch", T.BinaryType()),
     ]
 )
 
 
-def sketch(tokens: list[bytes], size: int = SHINGLE, kept: int = SKETCH) -> bytes:
-    """The smallest distinct shingle hashes of the whole text, in order."""
+def shingles(tokens: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of the whole text, in order."""
     digest, join = xxhash.xxh32_digest, b" ".join
     n = max(1, len(tokens) - size + 1) if tokens else 0
-    smallest = np.zeros(0, dtype=">u4")
+    parts = [np.zeros(0, dtype=">u4")]
     for first in range(0, n, CHUNK):
         part = tokens[first : min(n, first + CHUNK) + size - 1]
         shifted = [part[k:] for k in range(size)] if len(part) >= size else [[join(part)]]
-        hashes = np.frombuffer(b"".join([digest(join(s), SEED) for s in zip(*shifted, strict=False)]), dtype=">u4")
-        smallest = np.unique(np.concatenate([smallest, hashes]))[:kept]
-    return smallest.astype(">u4").tobytes()
+        parts.append(np.frombuffer(b"".join([digest(join(s), SEED) for s in zip(*shifted, strict=False)]), dtype=">u4"))
+    return np.unique(np.concatenate(parts).astype(np.uint32))
+
+
+def sketch(tokens: list[bytes], size: int = SHINGLE, kept: int = SKETCH) -> bytes:
+    """The smallest distinct shingle hashes of the whole text, in order."""
+    return shingles(tokens, size)[:kept].astype(">u4").tobytes()
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of least hashes; equal where all hashes of the band are."""
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for first in range(0, len(hashes), 2048):
+        mixed = hashes[first : first + 2048].astype(np.uint64) * _MIX[0] + _MIX[1]
+        least = np.minimum(least, mixed.min(axis=1))
+    raw, width = least.tobytes(), 8 * BAND_ROWS
+    # never negative: that marks a link
+    return [xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) >> 1 for k in range(BANDS)]
 
 
 def similarity(a: bytes, b: bytes, kept: int = SKETCH) -> float:
@@ -265,8 +281,21 @@ def similarity(a: bytes, b: bytes, kept: int = SKETCH) -> float:
     return len(np.intersect1d(np.intersect1d(left, right, True), union, True)) / len(union) if len(union) else 1.0
 
 
+def similarities(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, kept: int = SKETCH) -> np.ndarray:
+    """``similarity`` of a sketch to every row of ``many``, of which the first ``sizes`` values count."""
+    if not len(one):
+        return (sizes == 0).astype(float)
+    at = np.searchsorted(one, many)
+    column = np.arange(many.shape[1])
+    same = (one[np.minimum(at, len(one) - 1)] == many) & (column < sizes[:, None])
+    union = len(one) + sizes - same.sum(axis=1)
+    union = np.where((sizes >= kept) | (len(one) >= kept), np.minimum(union, kept), union)
+    place = column + at - (np.cumsum(same, axis=1) - same)
+    return (same & (place < union[:, None])).sum(axis=1) / union
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """Of every whole text: a hash of its words in order, fingerprints of its set of words, and its sketch."""
+    """Of every whole text: a hash of its words in order, its bands, and its sketch."""
 
     def body(batches):
         for batch in batches:
@@ -274,104 +303,106 @@ def profiles(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 tokens = words(text)
                 content = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(tokens)), dtype="<i8")
-                unique = sorted(set(tokens))
-                prints = [fingerprint(unique, 1, SEED + k) for k in range(PRINTS_EACH)]
-                for name, value in zip(out, (doc_id, int(content[0]), int(content[1]), *prints, sketch(tokens)), strict=True):
+                hashes = shingles(tokens)
+                kept = hashes[:SKETCH].astype(">u4").tobytes()
+                for name, value in zip(out, (doc_id, int(content[0]), int(content[1]), band_keys(hashes), kept), strict=True):
                     out[name].append(value)
             yield out
 
     return map_batches(docs.select("doc_id", "text"), body, PROFILES)
 
 
-def close_pairs(prints: np.ndarray, nodes: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Pairs of close members that span what closeness connects in the run."""
-    left, pairs = np.arange(len(prints)), []
+def linked(sketches: list[bytes], nodes: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Verified links that span what verified pairs connect among the members."""
+    sizes = np.array([len(x) // 4 for x in sketches])
+    values = np.zeros((len(sketches), max(1, int(sizes.max()))), dtype=np.uint32)
+    for row, raw in zip(values, sketches, strict=True):
+        row[: len(raw) // 4] = np.frombuffer(raw, dtype=">u4")
+    left, links = np.arange(len(sketches)), []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
-            near = hamming(prints[left], prints[at]) <= max_bits
+            own = values[at, : sizes[at]]
+            near = np.concatenate([similarities(own, values[part], sizes[part]) for part in np.split(left, range(4096, len(left), 4096))]) >= least
             reached, left = left[near], left[~near]
-            pairs += [(int(nodes[at]), int(nodes[x])) for x in reached]
+            links += [(int(nodes[at]), int(nodes[x])) for x in reached]
             front += list(reached)
-    return pairs
+    return links
 
 
-def node_links(nodes: DataFrame, max_bits: int = WIDE_BITS) -> DataFrame:
-    """Candidate links (``a``, ``b``) of ``node, print`` rows, along one-wildcard variants of three segments."""
-    fields = ["key", "rest", "print", "node"]
-    schema = "key long, rest long, print long, node long, other long"
+def all_pairs(members: np.ndarray) -> list[tuple[int, int]]:
+    first, second = np.triu_indices(len(members), 1)
+    return list(zip(members[first].tolist(), members[second].tolist(), strict=True))
 
-    def level(rows: DataFrame, last: bool) -> DataFrame:
-        def run(batches):
-            held = [np.zeros(0, dtype=np.int64) for _ in fields]
-
-            def settle(columns):
-                """Links of whole runs; too large ones go on as they are."""
-                keys, rest, prints, nodes = columns
-                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-                sizes = np.diff(np.r_[starts, len(keys)])
-                pairs: list[tuple[int, int]] = []
-                twos = starts[sizes == 2]
-                close = twos[hamming(prints[twos], prints[twos + 1]) <= max_bits] if len(twos) else twos
-                pairs += zip(nodes[close].tolist(), nodes[close + 1].tolist(), strict=True)
-                passed = [np.zeros(0, dtype=np.int64)]
-                for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                    if size <= WIDE_LEAF or last:
-                        pairs += close_pairs(prints[start : start + size], nodes[start : start + size], max_bits)
-                    else:
-                        passed.append(np.arange(start, start + size))
-                found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-                on = np.concatenate(passed).astype(np.int64)
-                none = np.full(len(found), -1)
-                out = (np.r_[none, keys[on]], np.r_[none, rest[on]], np.r_[none, prints[on]], np.r_[found[:, 0], nodes[on]], np.r_[found[:, 1], nodes[on]])
-                return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in out], names=[*fields, "other"])
-
-            over = None  # the key of a run that is already known to be too large
-            for batch in batches:
-                columns = [np.r_[h, batch.column(i).to_numpy()] for i, h in enumerate(held)]
-                if not len(columns[0]):
-                    continue
-                keys = columns[0]
-                if over is not None and keys[0] == over:  # its members go on as they come
-                    n = int(np.searchsorted(keys != over, True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:n], type=pa.int64()) for x in (*columns, columns[3])], names=[*fields, "other"])
-                    columns = [x[n:] for x in columns]
-                    keys = columns[0]
-                    if not len(keys):
-                        held = columns
-                        continue
-                over = None
-                first = len(keys) - int(np.searchsorted(keys[::-1] != keys[-1], True)) if keys[0] != keys[-1] else 0
-                yield settle([x[:first] for x in columns])
-                held = [x[first:] for x in columns]
-                if len(held[0]) > WIDE_LEAF and not last:
-                    over = held[0][0]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (*held, held[3])], names=[*fields, "other"])
-                    held = [x[:0] for x in held]
-            yield settle(held)
-
-        return rows.select(*fields).repartition(F.col("key")).sortWithinPartitions("key", "print").mapInArrow(run, schema)
-
-    rows = nodes.select("node", "print", F.lit(0).cast("long").alias("key"), F.col("print").alias("rest"))
-    links = None
-    for depth, width in enumerate(WIDTHS):
-        mask, low = (1 << width) - 1, (1 << (2 * width)) - 1
-        # one number says which segment (v div width) and which of its positions; the other two segments are left over
-        at = F.explode(F.sequence(F.lit(0), F.lit(3 * width - 1))).alias("v")
-        which = f"CAST(v div {width} AS INT)"
-        segment = f"(shiftrightunsigned(rest, {which} * {width}) & {mask}L)"
-        code = f"({segment} & ~shiftleft(1L, v % {width})) + shiftleft(CAST(v AS BIGINT), {width})"
-        left_over = f"CASE {which} WHEN 2 THEN rest & {low}L WHEN 1 THEN (shiftrightunsigned(rest, {2 * width}) & {mask}L) + shiftleft(rest & {mask}L, {width}) ELSE shiftrightunsigned(rest, {width}) & {low}L END"
-        spread = rows.select("node", "print", "key", "rest", at).select("node", "print", "key", F.expr(left_over).alias("rest"), F.expr(code).alias("code"))
-        keyed = spread.select("node", "print", "rest", (F.col("code") if not depth else F.shiftrightunsigned(F.xxhash64("key", "code"), 1)).alias("key"))
-        found = cut(level(keyed, depth == len(WIDTHS) - 1))
-        own = found.where("key = -1").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        links = own if links is None else links.unionByName(own)
-        rows = found.where("key != -1").select("node", "print", "key", "rest")
-        if rows.isEmpty():
-            break
-    return cut(links.distinct())
+
+def run_links(rows: DataFrame, leaf: int | None, inside: Callable[[list[np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+    """Of rows from ``key, node``: links (key -1) that ``inside`` finds in each run of a key, and members of runs over ``leaf``."""
+    names = ["key", "a", "b"]
+
+    def run(batches):
+        def record(keys, first, second):
+            return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (keys, first, second)], names=names)
+
+        held: list[pa.RecordBatch] = []  # parts of the run that the last batch left open
+        key_held, many, over = None, 0, False
+
+        def close():
+            """The links of the held run."""
+            found = []
+            if many > 1 and not over:
+                columns = [np.concatenate([part.column(i).to_numpy(zero_copy_only=False) for part in held]) for i in range(1, held[0].num_columns)]
+                found = inside(columns)
+            return found
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            if not len(keys):
+                continue
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+            found, passed_keys, passed = [], [], []
+            for start, stop in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[start] != key_held:
+                    found += close()
+                    key_held, held, many, over = keys[start], [], 0, False
+                held.append(batch.slice(start, stop - start))
+                many += stop - start
+                over = over or (leaf is not None and many > leaf)
+                if over:  # its members go on as they come
+                    passed += [part.column(1).to_numpy() for part in held]
+                    passed_keys += [np.full(part.num_rows, key_held) for part in held]
+                    held = []
+            ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield record(np.full(len(ends), -1), ends[:, 0], ends[:, 1])
+            if passed:
+                yield record(np.concatenate(passed_keys), np.concatenate(passed), np.concatenate(passed))
+        ends = np.array(close(), dtype=np.int64).reshape(-1, 2)
+        yield record(np.full(len(ends), -1), ends[:, 0], ends[:, 1])
+
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(run, "key long, a long, b long")
+
+
+def verified_links(nodes: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) that span what verified pairs of ``node, bands, sketch`` rows connect within each band."""
+    small, leaf = min(PAIRED, WIDE_LEAF), WIDE_LEAF
+
+    def in_memory(columns):
+        members, sketches = columns
+        return linked(list(sketches), members)
+
+    first = cut(run_links(nodes.select(F.explode("bands").alias("key"), "node"), small, lambda columns: all_pairs(columns[0])))
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    out = verify(first.where("key = -1").select(*ends).distinct(), nodes)
+    over = first.where("key != -1").select("key", F.col("a").alias("node"))
+    if not over.isEmpty():
+        second = cut(run_links(over.join(nodes, "node").select("key", "node", "sketch"), leaf, in_memory))
+        out = out.unionByName(second.where("key = -1").select(*ends))
+        over = second.where("key != -1").select("key", F.col("a").alias("node"))
+        if not over.isEmpty():
+            others = over.join(nodes, "node").select("node", "sketch", "key", F.explode("bands").alias("band")).where("band != key")
+            dealt = others.select(F.xxhash64("key", "band").alias("key"), "node", "sketch")
+            out = out.unionByName(run_links(dealt, None, in_memory).select(*ends))
+    return cut(out.distinct())
 
 
 def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -390,10 +421,8 @@ def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> Dat
 def verified_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for every row: texts equal word by word, and verified near copies, fall together."""
     known = cut(profiles(docs))
-    own = [f"print_{k}" for k in range(PRINTS_EACH)]
-    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*own, "sketch")]).where("node IS NOT NULL"))
-    links = reduce(DataFrame.unionByName, [node_links(nodes.select("node", F.col(c).alias("print"))) for c in own]).distinct()
-    labels = components(verify(links, nodes))
+    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
+    labels = components(verified_links(nodes))
     named = nodes.select("content_a", "content_b", "node").join(labels, "node", "left").select("content_a", "content_b", F.coalesce("label", "node").alias("component_id"))
     return known.select("doc_id", "content_a", "content_b").join(named, ["content_a", "content_b"]).select("doc_id", "component_id")
 
