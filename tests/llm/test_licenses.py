@@ -67,3 +67,21 @@ def test_prefixes_are_short_and_rare_first():
     assert words[-1] == b"the" and words[-2] == b"license"
     indexed = {w for w, hits in index.prefix.items() if any(t == 0 for t, _ in hits)}
     assert len(indexed) == len(words) - index.needed[0] + 1 and b"the" not in indexed
+
+
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(7)
+    rows = []
+    for template, label in licenses.TEMPLATES:
+        words = template.split()
+        for width in (3, 6, 11):
+            for before in (0, 31, 50, 333):
+                lines = [" ".join(["foo"] * rng.randint(1, 8)) for _ in range(before)]
+                lines += ["# " + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+                rows.append((len(rows), "\r\n".join([*lines, "bar", "bar " * 200]), label))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, text, label in rows:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, text
+    plain = spark.createDataFrame([(1, "permission is hereby granted\nfoo\nfree of charge")], "doc_id long, text string")
+    assert licenses.scan(plain).first().labels == ""

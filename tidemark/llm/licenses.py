@@ -7,7 +7,8 @@ block that meets an indexed word is a candidate if it has enough words at all (l
 still follow the shared one on both sides (positional filter); then the overlap is counted.  No match is missed.
 
 Blocks are lines; a longer line than ``BLOCK`` words is cut into windows of that many words, half overlapping, so any
-notice of up to half a block lies whole in one window.
+notice of up to half a block lies whole in one window.  Notices are often wrapped, so blocks are also the windows of the
+whole text regardless of line ends: twice as many words as the longest template, half overlapping.
 
 Scale.  Word frequencies cover all documents (only words of the templates are counted).  The templates are a fixed,
 small list, so the index travels with the code; the scan is one pass without a shuffle.
@@ -70,13 +71,14 @@ class TemplateIndex:
     words: list[list[bytes]]
     needed: list[int]
     prefix: dict[bytes, list[tuple[int, int]]]
+    longest: int
 
 
 def index_templates(templates, frequency: dict[bytes, int], threshold: float = THRESHOLD) -> TemplateIndex:
     sets = [frozenset(text.encode().split()) for text, _ in templates]
     vocabulary = sorted(set().union(*sets), key=lambda w: (frequency.get(w, 0), w))
     order = {w: i for i, w in enumerate(vocabulary)}
-    index = TemplateIndex(order, [label for _, label in templates], [sorted(s, key=order.__getitem__) for s in sets], [], {})
+    index = TemplateIndex(order, [label for _, label in templates], [sorted(s, key=order.__getitem__) for s in sets], [], {}, max((len(text.split()) for text, _ in templates), default=1))
     for t, words in enumerate(index.words):
         needed = max(1, math.ceil(threshold * len(words) - 1e-9))
         index.needed.append(needed)
@@ -102,11 +104,10 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
     return {r.word.encode(): r.n for r in rows}
 
 
-def blocks(line: bytes) -> list[list[bytes]]:
-    words = line.split()
-    if len(words) <= BLOCK:
+def blocks(words: list[bytes], size: int = BLOCK) -> list[list[bytes]]:
+    if len(words) <= size:
         return [words]
-    return [words[i : i + BLOCK] for i in range(0, len(words) - BLOCK // 2, BLOCK // 2)]
+    return [words[i : i + size] for i in range(0, len(words) - size // 2, size // 2)]
 
 
 def matches(block: list[bytes], index: TemplateIndex) -> dict[int, float]:
@@ -160,11 +161,14 @@ def scan_text(text: str | None, index: TemplateIndex, phrases=PHRASES) -> tuple:
             at = joined.find(wanted, at + 1)
     labels, score = set(base), 1.0 if base else 0.0
     if not index.prefix.keys().isdisjoint(words):
-        for line in raw.split(b"\n"):
-            for block in blocks(line):
-                for t, share in matches(block, index).items():
-                    labels.add(index.labels[t])
-                    score = max(score, share)
+        lines = [line.split() for line in raw.split(b"\n")]
+        parts = [block for line in lines for block in blocks(line)]
+        if sum(map(bool, lines)) > 1:
+            parts += blocks(words, 2 * index.longest)
+        for block in parts:
+            for t, share in matches(block, index).items():
+                labels.add(index.labels[t])
+                score = max(score, share)
     ends = (min(places), max(places)) if places else (None, None)
     return len(words), len(places), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
