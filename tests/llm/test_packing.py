@@ -69,3 +69,22 @@ def test_rows_and_edges(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(docs, PATH)).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["query", "pipeline"])
+def test_added_tokens_in_texts_are_single_ids(spark, tmp_path, stage):
+    import corpus_pipeline
+    from tidemark.llm import queries
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"x{end}{end}  y", f" \n{end} c<|endoftext", f"{end[1:]} d {end}", f"é{end}😀", f"a {end} b " * 900, "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_packing(spark, str(tmp_path)) if stage == "query" else corpus_pipeline.packed(spark, docs, str(tmp_path))
+    tok = Tokenizer.from_file(PATH)
+    seen = {i: 0 for i in range(len(texts))}
+    for r in rows.collect():
+        ids = np.array([*tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()), texts[r.doc_id]
+        seen[r.doc_id] += r.length
+    assert all(n == len(tok.encode(texts[i] or "", add_special_tokens=False).ids) + 1 for i, n in seen.items())

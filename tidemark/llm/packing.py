@@ -11,6 +11,10 @@ Scale.  Only the histogram (one row per length) reaches the driver, and the plan
 on the number of pieces.  Pieces take their places by rank within their length.  Ranks come from counts by length and
 salt, with the number of salts growing with the table, so that one very common length is spread over many tasks.
 
+Token ids.  Those that ``tokenizers`` gives for the vocabulary file without adding special tokens: an added token of the
+file that stands in a text is one id.  ``pieces`` alone takes such strings for ordinary text; the query and the pipeline
+ask for ``added``.
+
 Edge cases.  Null text counts as empty; an empty text is one piece of one token (the end id).  Longer texts than the
 capacity are cut; the first piece takes the remainder.  An empty table gives no rows.  Repeated rows are packed each.
 """
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -57,23 +61,27 @@ def byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
-    """An encoder for a byte-level vocabulary file; strings of special tokens in a text are ordinary text."""
+    """An encoder for a byte-level vocabulary file; the file's added tokens are its special tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        content = json.load(file)
+    model, added = content["model"], content.get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that look at what stands around them are not supported")
     letters = byte_alphabet()
     special = len(model["merges"]) + 256
     ranks = {bytes(letters[c] for c in token): rank for token, rank in model["vocab"].items() if rank < special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32``."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, *, added: bool = False) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32``; with ``added``, added tokens in a text are one id each."""
 
     def body(batches):
-        encode = byte_bpe(vocabulary).encode_ordinary
+        bpe = byte_bpe(vocabulary)
+        encode = partial(bpe.encode, allowed_special="all") if added else bpe.encode_ordinary
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in PIECES}
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -31,7 +31,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 2048 tokens, placed in sequences."""
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True))
 
 
 def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
