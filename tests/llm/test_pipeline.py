@@ -50,3 +50,12 @@ def test_run(spark):
 def test_stages_on_empty_tables(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_texts_that_share_an_id_all_stay(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, three), (3, three), (4, four), (4, None), (None, one), (5, two + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    kept = sorted((r.text or "").split(" more")[0] for r in out.collect())
+    assert out.columns == docs.columns and kept == sorted([one, two, three, four, ""])

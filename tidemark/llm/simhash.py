@@ -428,7 +428,7 @@ def verified_groups(docs: DataFrame) -> DataFrame:
 
 
 def joined_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id``: what ``groups`` or ``verified_groups`` puts together."""
+    """``doc_id, component_id``: what ``groups`` or ``verified_groups`` puts together; rows with one id must have one text."""
     both = cut(groups(docs).select("doc_id", F.col("component_id").alias("one")).join(verified_groups(docs).withColumnRenamed("component_id", "two").dropDuplicates(["doc_id"]), "doc_id"))
     labels = components(both.where("one != two").select(F.col("one").alias("a"), F.col("two").alias("b")).distinct())
     named = both.join(labels.withColumnRenamed("node", "one"), "one", "left")
