@@ -131,3 +131,30 @@ def test_config_is_checked():
         FeatureConfig(1)
     with pytest.raises(ValidationError):
         FeatureConfig(20, ("nothing",))
+
+
+def test_query_of_the_default_bank_by_loops(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.event_id: r.features for r in entry.queries()["features_kernels_default"](spark, sf).collect()}
+    series = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        series.setdefault(r.user_id, []).append((r.ts, r.event_id, r.value))
+    bank, checked = convolution.kernel_bank(20), 0
+    assert len(bank) == 250 and len(got) == sum(map(len, series.values()))
+    for rows in series.values():
+        rows.sort()
+        assert len(rows) >= 25
+        for end in (18, 19, len(rows) - 1):
+            x = np.array([v for _, _, v in rows[max(0, end - 19) : end + 1]], dtype=np.float32).astype(float)
+            want = []
+            for _, length, dilation, weights, bias in bank:
+                places = [[i + (j - (length - 1) // 2) * dilation for j in range(length)] for i in range(20)]
+                y = [sum(w * x[p] for w, p in zip(weights, at, strict=True) if 0 <= p < 20) + bias for at in places] if len(x) == 20 else []
+                above = [v for v in y if v > 0]
+                mean = sum(above) / len(above) if above else 0.0
+                want += [len(above) / 20, max(y), mean, len(above) / 20 * mean] if y else [0.0] * 4
+            assert len(got[rows[end][1]]) == 1000 and np.allclose(got[rows[end][1]], want, rtol=1e-5, atol=1e-5)
+            checked += 1
+    assert checked == 3 * len(series)

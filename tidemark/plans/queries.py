@@ -190,6 +190,12 @@ def family(name: str, found: dict[str, str], cfg: FeatureConfig, prefix: str = "
     return lambda spark, sf_dir: features(spark, sf_dir, cfg, wanted, digits)
 
 
+def features_kernels_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kernels of the default bank with all poolings, packed, for every row; too many for SQL, so a test holds them against loops."""
+    out = attach(events(spark, sf_dir), EVENTS, FeatureConfig(WINDOW, ("kernels",)), packed="features")
+    return out.select("event_id", "features")
+
+
 def _families() -> tuple[dict, dict]:
     queries, sql = {}, {}
     for name in ("moments", "memory", "spectrum", "disorder", "trend", "counts", "corridors", "advanced"):
@@ -232,6 +238,7 @@ QUERIES = {
     "long_series": long_series,
     "engine_on_arrays": engine_on_arrays,
     "kernel_info": kernel_info,
+    "features_kernels_default": features_kernels_default,
     "selection_profile": selection_profile,
     "selection_correlations": selection_correlations,
     "selection": selection,
