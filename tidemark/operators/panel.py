@@ -15,14 +15,16 @@ MOST_TIMES = 1_000_000
 def to_panel(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """A row per entity with its values at all times of the table, in order: arrays ``times``, ``is_valid`` and one per channel.
 
-    Gaps hold NaN.  Only the list of times (one row) meets every entity; the table itself is grouped once.  A table
+    Gaps hold NaN.  Of rows with one entity and time the last by the tiebreak counts.  Only the list of times (one row) meets every entity; the table itself is grouped once.  A table
     with more than ``MOST_TIMES`` times has no dense form: it is refused, and stays long.
     """
     known = df.where(F.col(spec.entity).isNotNull() & F.col(spec.time).isNotNull())
     if (n := known.select(spec.time).distinct().count()) > MOST_TIMES:
         raise ValidationError(f"{n} different times are too many for a dense panel; narrow the range of times")
     times = known.agg(F.array_sort(F.collect_set(spec.time)).alias("times"))
-    own = known.groupBy(spec.entity).agg(F.map_from_entries(F.collect_list(F.struct(F.col(spec.time), F.struct(*[single(c).alias(c) for c in spec.numeric])))).alias("at"))
+    values = F.struct(*[single(c).alias(c) for c in spec.numeric])
+    last = known.groupBy(spec.entity, spec.time).agg(F.max_by(values, F.struct(*[F.col(f"`{c}`") for c in spec.order], values)).alias("at"))
+    own = last.groupBy(spec.entity).agg(F.map_from_entries(F.collect_list(F.struct(F.col(spec.time), F.col("at")))).alias("at"))
     wide = own.join(F.broadcast(times))
     value = lambda c: F.transform("times", lambda t: F.coalesce(F.try_element_at("at", t)[c], F.lit(float("nan"))))
     valid = F.transform("times", lambda t: F.try_element_at("at", t).isNotNull())

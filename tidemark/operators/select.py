@@ -21,6 +21,11 @@ def column_profile(df: DataFrame, names: list[str]) -> list[tuple[float, float]]
     return out
 
 
+def varying(df: DataFrame, names: list[str], least: float = 0.0) -> list[str]:
+    """Columns whose variance over the whole table is larger than ``least``."""
+    return [n for n, (_, spread) in zip(names, column_profile(df, names), strict=True) if spread > least]
+
+
 def correlations(df: DataFrame, names: list[str]) -> np.ndarray:
     """Correlation matrix with missing values as zero.
 

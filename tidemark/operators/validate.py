@@ -49,12 +49,23 @@ def validate(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.withColumn(spec.time, F.expr(f"try_cast(`{spec.time}` AS timestamp)"))
 
 
+def entities(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """One row: how many different entities there are."""
+    return df.agg(F.count_distinct(F.col(f"`{spec.entity}`")).alias("n_entities"))
+
+
+def output_report(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row: rows, cells of these columns, and how many of them are infinite or NaN."""
+    value = lambda n: F.col(f"`{n}`").cast("double")
+    infinite, nan = ([F.count_if(test(value(n))) for n in names] for test in (lambda v: F.abs(v) == float("inf"), F.isnan))
+    rows = F.count("*")
+    return df.agg(rows.alias("n_rows"), (rows * len(names)).alias("n_cells"), sum(infinite, F.lit(0)).cast("long").alias("n_infinite"), sum(nan, F.lit(0)).cast("long").alias("n_nan"))
+
+
 def validate_output(df: DataFrame, names: list[str], most_nan: float = 0.9) -> None:
     """Raises if a feature is infinite anywhere, or NaN nearly everywhere."""
-    value = lambda n: F.col(f"`{n}`").cast("double")
-    found = df.agg(F.count("*").alias("rows"), *[F.count_if(F.abs(value(n)) == float("inf")).alias(f"i{k}") for k, n in enumerate(names)], *[F.count_if(F.isnan(value(n))).alias(f"n{k}") for k, n in enumerate(names)]).first()
-    if infinite := [n for k, n in enumerate(names) if found[f"i{k}"]]:
-        raise ValidationError(f"infinite values: {', '.join(infinite[:10])}")
-    cells = found.rows * len(names)
-    if cells and sum(found[f"n{k}"] for k in range(len(names))) > most_nan * cells:
+    found = output_report(df, names).first()
+    if found.n_infinite:
+        raise ValidationError(f"{found.n_infinite} infinite values")
+    if found.n_cells and found.n_nan > most_nan * found.n_cells:
         raise ValidationError("nearly all values are NaN")

@@ -5,19 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.features import compute, feature_names
-from tidemark.plans.shared import cut
-from tidemark.spec import FeatureConfig, SeriesSpec
+from tidemark.operators.series import HALO, PART, PART_ROWS, ROW, TOTAL, long_series, parted, without
+from tidemark.spec import FeatureConfig, SeriesSpec, ValidationError
 
-#: Rows of one series that one task holds at a time.  Longer series are cut into parts that overlap by a window.
-PART_ROWS = 16_384
 #: Windows in one step of the kernels.
 STEP = 2048
-PART, ROW, TOTAL, HALO = "__part", "__row", "__rows", "__halo"
 
 
 def _floats(column) -> np.ndarray:
@@ -36,16 +33,21 @@ def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def features_of(batch: pa.RecordBatch, keys: list[str], spec: SeriesSpec, cfg: FeatureConfig, width: int) -> np.ndarray:
-    """``[rows, features]`` of ordered whole series (or parts), many at a time; zero where no full window ends."""
-    out = np.zeros((batch.num_rows, width), dtype=np.float32)
+def full_windows(batch: pa.RecordBatch, keys: list[str], spec: SeriesSpec, cfg: FeatureConfig) -> np.ndarray:
+    """Which rows of ordered whole series (or parts) end a full window of a series that is long enough."""
     starts = _starts(batch, keys)
     sizes = np.diff(np.r_[starts, batch.num_rows])
     place = batch.schema.get_field_index(TOTAL)
     rows = batch.column(place).to_numpy() if place >= 0 else np.repeat(sizes, sizes)
     known = ~batch.column(batch.schema.get_field_index(spec.entity)).is_null().to_numpy(zero_copy_only=False)
     at = np.arange(batch.num_rows) - np.repeat(starts, sizes)
-    ends = np.flatnonzero(known & (at >= cfg.window - 1) & (rows >= cfg.window + cfg.min_extra))
+    return known & (at >= cfg.window - 1) & (rows >= cfg.window + cfg.min_extra)
+
+
+def features_of(batch: pa.RecordBatch, full: np.ndarray, spec: SeriesSpec, cfg: FeatureConfig, width: int) -> np.ndarray:
+    """``[rows, features]``, many series at a time; zero where no full window ends."""
+    out = np.zeros((batch.num_rows, width), dtype=np.float32)
+    ends = np.flatnonzero(full)
     if not len(ends):
         return out
     views = {c: np.lib.stride_tricks.sliding_window_view(_floats(batch.column(batch.schema.get_field_index(c))), cfg.window) for c in spec.numeric}
@@ -59,38 +61,57 @@ def features_of(batch: pa.RecordBatch, keys: list[str], spec: SeriesSpec, cfg: F
     return out
 
 
-def attach(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, packed: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+def attach(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, packed: str | None = None, full: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """``df`` with all features, as columns of single precision or, with ``packed``, as one array column of that name.
 
-    Rows of a null entity, of short series and before the first full window stay, with zeros.  Series with more than
-    ``part_rows`` rows (found by a count of the entity column alone) are numbered by range partitions and cut, so no
-    task ever holds a whole long series.
+    ``full`` names a further column that tells rows with a full window from the others, so that nothing has to number
+    the rows again.  Rows of a null entity, of short series and before the first full window stay, with zeros.  Series
+    with more than ``part_rows`` rows (found by a count of the entity column alone) are numbered by range partitions
+    and cut, so no task ever holds a whole long series.  A column of ``df`` that has a feature's name is replaced.
     """
-    names = feature_names(cfg, spec.channels, spec.signature_channels)
-    added = [T.StructField(packed, T.ArrayType(T.FloatType(), False))] if packed else [T.StructField(n, T.FloatType()) for n in names]
+    return attach_all(df, spec, {"": cfg}, packed=packed, full=full, part_rows=part_rows)
+
+
+def attach_all(df: DataFrame, spec: SeriesSpec, configs: dict[str, FeatureConfig], *, packed: str | None = None, full: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """``attach`` of several configurations at once: one shuffle and one sort for all, names after their prefix."""
+    names = {prefix: feature_names(cfg, spec.channels, spec.signature_channels) for prefix, cfg in configs.items()}
+    added: list[T.StructField] = []
+    for prefix in configs:
+        added += [T.StructField(prefix + packed, T.ArrayType(T.FloatType(), False))] if packed else [T.StructField(prefix + n, T.FloatType()) for n in names[prefix]]
+        added += [T.StructField(prefix + full, T.BooleanType())] if full else []
+    fresh = {f.name for f in added}
+    if taken := fresh & {spec.entity, *spec.order, *spec.numeric}:
+        raise ValidationError(f"features would take the names of input columns: {', '.join(sorted(taken)[:10])}")
+    df = without(df, fresh)
+    columns = df.columns
     schema = T.StructType([*df.schema.fields, *added])
     entity = F.col(f"`{spec.entity}`")
-    counts = df.where(entity.isNotNull()).groupBy(entity.alias("e")).agg(F.count("*").alias("n"))
-    long = cut(counts.where(F.col("n") > part_rows))
-    columns = df.columns
+    widest = max(cfg.window for cfg in configs.values())
 
     def finished(batch: pa.RecordBatch, keys: list[str]):
         if not batch.num_rows:
             return
-        matrix = features_of(batch, keys, spec, cfg, len(names))
+        ends = {prefix: full_windows(batch, keys, spec, cfg) for prefix, cfg in configs.items()}
         place = batch.schema.get_field_index(HALO)
-        if place >= 0:
-            own = pc.invert(batch.column(place))
-            batch, matrix = batch.filter(own), matrix[own.to_numpy(zero_copy_only=False)]
+        own = None if place < 0 else pc.invert(batch.column(place)).to_numpy(zero_copy_only=False)
+        if own is not None:
+            ends = {prefix: e & own for prefix, e in ends.items()}
+        values = {prefix: features_of(batch, ends[prefix], spec, cfg, len(names[prefix])) for prefix, cfg in configs.items()}
+        if own is not None:
+            batch, ends, values = batch.filter(pa.array(own)), {p: e[own] for p, e in ends.items()}, {p: v[own] for p, v in values.items()}
         for start in range(0, batch.num_rows, STEP):
-            rows, values = batch.slice(start, STEP), matrix[start : start + STEP]
-            if packed:
-                offsets = pa.array(np.arange(len(values) + 1) * values.shape[1], type=pa.int32())
-                arrays = [pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), type=pa.list_(pa.field("element", pa.float32(), nullable=False)))]
-            else:
-                arrays = [pa.array(np.ascontiguousarray(values[:, j])) for j in range(len(names))]
-            kept = [rows.column(rows.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*columns, *([packed] if packed else names)])
+            rows = batch.slice(start, STEP)
+            arrays = [rows.column(rows.schema.get_field_index(c)) for c in columns]
+            for prefix in configs:
+                part = values[prefix][start : start + STEP]
+                if packed:
+                    offsets = pa.array(np.arange(len(part) + 1) * part.shape[1], type=pa.int32())
+                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(part.ravel()), type=pa.list_(pa.field("element", pa.float32(), nullable=False))))
+                else:
+                    arrays += [pa.array(np.ascontiguousarray(part[:, j])) for j in range(part.shape[1])]
+                if full:
+                    arrays.append(pa.array(ends[prefix][start : start + STEP]))
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     def appended(rows: DataFrame, deal: list, keys: list[str], order: list[str]) -> DataFrame:
         """One shuffle and sort; series that a batch does not finish wait for the next one."""
@@ -112,31 +133,15 @@ def attach(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, packed: str |
         sorted_rows = rows.repartition(partitions, *deal).sortWithinPartitions(*[F.col(f"`{c}`") for c in (*keys, *order)])
         return sorted_rows.mapInArrow(run, schema)
 
-    if long.isEmpty():
+    rows = max(part_rows, widest)  # so that the rows that open a part all lie in the part before
+    long = long_series(df, spec, rows)
+    if long is None:
         return appended(df, [_null_spread(df, entity)], [spec.entity], list(spec.order))
-    short = df.join(long.select(F.col("e").alias(spec.entity)), spec.entity, "left_anti").select(*columns)
-    cut_up = _parts(df.join(long, entity == long["e"], "inner").drop("e"), spec, cfg.window, part_rows)
-    parts = appended(cut_up, [entity, F.col(PART)], [spec.entity, PART], [ROW])
-    return appended(short, [_null_spread(short, entity)], [spec.entity], list(spec.order)).unionByName(parts)
+    short, parts = parted(df, spec, long, widest - 1, rows)
+    return appended(short, [_null_spread(short, entity)], [spec.entity], list(spec.order)).unionByName(appended(parts, [entity, F.col(PART)], [spec.entity, PART], [ROW]))
 
 
 def _null_spread(df: DataFrame, entity):
     """A key that tells entities apart and deals rows without one, which share no window, over many groups."""
     others = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])
     return F.struct(entity.alias("e"), F.when(entity.isNull(), F.pmod(others, F.lit(4096))).alias("s"))
-
-
-def _parts(df: DataFrame, spec: SeriesSpec, window: int, rows: int) -> DataFrame:
-    """Rows of long series with their number, the series' length (``n`` on input), their part, and copies that open the next part."""
-    keys = [F.col(f"`{c}`") for c in (spec.entity, *spec.order)]
-    dealt = cut(df.withColumnRenamed("n", TOTAL).repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
-    sizes = dealt.groupBy(keys[0].alias("__entity"), F.col("__range").alias("__of")).agg(F.count("*").alias("__size"))
-    before = Window.partitionBy("__entity").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__entity", "__of", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    inner = Window.partitionBy(keys[0], "__range").orderBy(*keys[1:])
-    joined = dealt.join(offsets, (keys[0] == F.col("__entity")) & (F.col("__range") == F.col("__of"))).drop("__entity", "__of")
-    numbered = joined.withColumn(ROW, F.col("__offset") + F.row_number().over(inner) - 1).drop("__offset", "__range")
-    own = F.floor(F.col(ROW) / rows)
-    opens_next = (F.col(ROW) % rows >= rows - (window - 1)) & (F.col(ROW) + 1 < F.col(TOTAL))
-    places = F.when(opens_next, F.array(F.struct(own.alias("p"), F.lit(False).alias("h")), F.struct((own + 1).alias("p"), F.lit(True).alias("h")))).otherwise(F.array(F.struct(own.alias("p"), F.lit(False).alias("h"))))
-    return numbered.withColumn("__place", F.explode(places)).withColumns({PART: F.col("__place.p"), HALO: F.col("__place.h")}).drop("__place")

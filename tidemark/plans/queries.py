@@ -30,14 +30,11 @@ def rounded(column, digits: int = 6):
 def rolling_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native window aggregates: mean, deviation, extremes, lower median and slope of each full window."""
     spec = SeriesSpec("user_id", "ts", ("value",), (), ("event_id",))
-    numbered = windows.numbered(events(spark, sf_dir), spec).withColumn("slope", windows.slope(spec, "value", WINDOW))
-    stats = {}
-    over, x = windows.frame(spec, WINDOW), windows.single("value")
-    for name, value in {"mean": F.avg(x), "std": F.stddev_samp(x), "low": F.min(x), "high": F.max(x)}.items():
-        stats[name] = value.over(over)
-    stats["median"] = F.sort_array(F.collect_list(x).over(over))[(WINDOW - 1) // 2]
+    stats = windows.statistics(spec, WINDOW)
+    out = windows.over_series(events(spark, sf_dir), spec, WINDOW, lambda w: stats(w) | {"slope": windows.slope(w, "value", WINDOW)})
     full = (F.col("row_in_series") >= WINDOW) & (F.col("series_rows") >= WINDOW + 5)
-    return numbered.withColumns(stats).where(full).select("event_id", *[rounded(F.col(c)).alias(c) for c in (*stats, "slope")])
+    labels = {"value_mean": "mean", "value_std": "std", "value_min": "low", "value_max": "high", "value_median": "median", "slope": "slope"}
+    return out.where(full).select("event_id", *[rounded(F.col(c)).alias(label) for c, label in labels.items()])
 
 
 def window_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +106,7 @@ def features(spark: SparkSession, sf_dir: str, cfg: FeatureConfig, wanted: dict[
     """``wanted`` (name: label) features of every full window, from the packed form."""
     names = feature_names(cfg, EVENTS.channels, EVENTS.signature_channels)
     at = {n: i for i, n in enumerate(names)}
-    out = windows.numbered(attach(events(spark, sf_dir), EVENTS, cfg, packed="features"), EVENTS)
-    full = out.where((F.col("row_in_series") >= cfg.window) & (F.col("series_rows") >= cfg.window + 5))
+    full = attach(events(spark, sf_dir), EVENTS, cfg, packed="features", full="is_full").where("is_full")
     return full.select("event_id", *[significant(F.col("features")[at[n]], digits).alias(label) for n, label in wanted.items()])
 
 
