@@ -178,3 +178,78 @@ def test_engines_one_by_one(spark):
     flat = np.full((4, 30), 2.0)
     assert some.compute(flat)[0].shape == (4, 0) and KernelEngine(kernels=9).info(spark, 30).agg(F.sum("kernels")).first()[0] == 9
     assert map_windows(df, ["w"], lambda x: x.max(axis=1, keepdims=True)).where("k = 0").first().features[0] == np.float32(max(rows[0][1]))
+
+
+def test_idle_state_goes(spark, frame, tmp_path):
+    known = frame.where("symbol = 'A'").orderBy("date").collect()
+    late = [(r.symbol, r.date + dt.timedelta(days=400), r.close, r.volume) for r in known[:6]]
+    far = [("Z", known[0].date + dt.timedelta(days=300 + i), 1.0, 1.0) for i in range(2)]
+    source = tmp_path / "in"
+    for k, part in enumerate(([tuple(r) for r in known], far, far[1:], late)):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(source / f"b{k}"))
+    for name, idle in (("kept", None), ("dropped", dt.timedelta(days=30))):
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+        query = stream_features(stream, SPEC, SMALL, watermark="1 day", idle=idle).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        query.processAllAvailable()
+        query.stop()
+    assert spark.table("kept").where("symbol = 'A'").count() == 31 + 6
+    assert spark.table("dropped").where("symbol = 'A'").count() == 31
+    with pytest.raises(ValidationError):
+        stream_features(frame, SPEC, SMALL, idle=dt.timedelta(days=1))
+
+
+@pytest.mark.parametrize("part_rows", [16_384, 12])
+def test_columns_may_have_any_name(spark, frame, part_rows):
+    names = ["n", "e", "s", "p", "h", "E", "part", "opens", "row_number"]
+    odd = frame.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names) if c != "E"])
+    out = attach(odd.repartition(3), SPEC, SMALL, packed="f", full="whole", part_rows=part_rows)
+    want, start = expected(), dt.datetime(2024, 1, 1)
+    got = out.collect()
+    assert len(got) == 86 and out.columns == [*odd.columns, "f", "whole"]
+    for r in got:
+        key = (r.symbol, (r.date - start).days)
+        assert r.whole == (key in want) and np.array_equal(np.float32(r.f), want.get(key, np.zeros(len(r.f), np.float32)))
+        assert (r.n, r.e, r.s, r.p, r.h) == (0, 1, 2, 3, 4)
+    again = attach(out.drop("whole"), SPEC, SMALL, packed="f")
+    assert again.columns == [*odd.columns, "f"] and again.count() == 86
+    with pytest.raises(ValidationError):
+        attach(frame, SPEC, SMALL, packed="close")
+
+
+def test_windows_longer_than_a_part(spark, frame):
+    whole, cut_up = (sorted((r.symbol or "", r.date, r.whole, tuple(r.f)) for r in attach(frame, SPEC, SMALL, packed="f", full="whole", part_rows=n).collect()) for n in (16_384, 3))
+    assert whole == cut_up
+
+
+@pytest.mark.parametrize("part_rows", [3, 12])
+def test_native_windows_of_long_series(spark, frame, part_rows):
+    for run in (
+        lambda n: windows.rolling(frame, SPEC, 10, 4, part_rows=n),
+        lambda n: windows.rolling_multi(frame, SPEC, [5, 10], part_rows=n),
+        lambda n: windows.window_stats(frame, SPEC, 10, part_rows=n),
+    ):
+        whole, parts = run(16_384), run(part_rows)
+        assert whole.columns == parts.columns and dict(whole.dtypes).keys() == dict(parts.dtypes).keys()
+        assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
+def test_panel_takes_the_last_of_repeated_cells(spark, frame):
+    spec = SeriesSpec("symbol", "date", ("close",), (), ("k",))
+    twice = frame.withColumn("k", F.lit(1)).unionByName(frame.withColumn("k", F.lit(2)).withColumn("close", F.col("close") * 2))
+    one = {r.symbol: r.close for r in panel.to_panel(frame.withColumn("close", F.col("close") * 2), SPEC).collect()}
+    for r in panel.to_panel(twice, spec).collect():
+        assert np.array_equal(r.close, one[r.symbol], equal_nan=True)
+
+
+def test_several_lengths_in_one_pass(spark, frame):
+    settings = {"enable_rocket": False, "enable_wavelets": False, "enable_catch22": False, "tsfresh_mode": "efficient", "signature_depth": 1}
+    both = generate_features(frame, window_sizes=[10, 12], multi_window=True, **settings)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    for size in (10, 12):
+        one = generate_features(frame, window_sizes=[size], **settings)
+        names = [c for c in one.columns if c not in frame.columns]
+        a = sorted(str(tuple(r)) for r in one.collect())
+        b = sorted(str(tuple(r)) for r in both.select(*frame.columns, *[F.col(f"`w{size}_{n}`") for n in names]).collect())
+        assert a == b
+    packed = generate_features(frame, window_sizes=[10, 12], multi_window=True, packed="f", **settings)
+    assert packed.columns == [*frame.columns, "w10_f", "w12_f"]

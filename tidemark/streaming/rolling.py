@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +14,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.features import compute
 from tidemark.operators.windows import single
-from tidemark.spec import FeatureConfig, SeriesSpec
+from tidemark.spec import FeatureConfig, SeriesSpec, ValidationError
 
 
-def stream_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, watermark: str | None = None, packed: str = "features") -> DataFrame:
+def stream_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, watermark: str | None = None, idle: dt.timedelta | None = None, packed: str = "features") -> DataFrame:
     """``entity, time`` and tiebreak of each window's last row, with all features in one array.
 
     Rows of a trigger are ordered by time and tiebreak and follow what came before; with a ``watermark``, repeated
     rows within it are dropped.  State per entity: the last ``window - 1`` rows and the number of rows so far.  As in
     batch, a series gives windows once it has ``window + min_extra`` rows; those held back until then come together.
+    With ``idle`` (which needs a watermark) an entity's state goes once the watermark is that far beyond its last row;
+    rows that come later start a new series.  Without it state stays, a bounded number of rows for each entity.
     """
+    if idle and not watermark:
+        raise ValidationError("state expires by event time, which needs a watermark")
     known = df.where(F.col(f"`{spec.entity}`").isNotNull())
     if watermark:
         known = known.withWatermark(spec.time, watermark).dropDuplicatesWithinWatermark([spec.entity, *spec.order])
@@ -32,10 +37,14 @@ def stream_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, wate
     held = cfg.window + cfg.min_extra
     state_schema = T.StructType([T.StructField("seen", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("marks", T.BinaryType())])
     names = [f"v_{c}" for c in spec.numeric]
+    zone = "UTC" if isinstance(df.schema[spec.time].dataType, T.TimestampNTZType) else df.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pickle
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, values, marks = state.get if state.exists else (0, [], pickle.dumps([]))
         before = np.array(values, dtype=np.float64).reshape(-1, len(names))
         marks = pickle.loads(marks)
@@ -55,7 +64,10 @@ def stream_features(df: DataFrame, spec: SeriesSpec, cfg: FeatureConfig, *, wate
             out.insert(0, spec.entity, key[0])
             out[packed] = list(matrix)
             yield out
+        if idle:
+            last = fresh[spec.time].max().tz_localize(zone, ambiguous=True, nonexistent="shift_forward")
+            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + int(idle.total_seconds() * 1000))
         keep = cfg.window - 1 if seen >= held else len(block)
         state.update((seen, block[len(block) - keep :].ravel().tolist(), pickle.dumps(marks[len(marks) - keep :])))
 
-    return rows.groupBy(spec.entity).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(spec.entity).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout)
