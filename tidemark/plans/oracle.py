@@ -43,9 +43,9 @@ def quantile(q: float, values: str = "o", n: int = T) -> str:
     return f"({values}[{low + 1}] + ({values}[{high + 1}] - {values}[{low + 1}]) * {at - low!r})"
 
 
-def query(columns: dict[str, str], extra: str = "", source: str = "k", digits: int = 4) -> str:
-    """Labels and expressions over the windows, as single-precision values rounded to ``digits``."""
-    listed = ", ".join(f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), {digits}) + 0.0 AS {n}" for n, v in columns.items())
+def query(columns: dict[str, str], extra: str = "", source: str = "k", digits: int = 4, finer: tuple[str, ...] = ()) -> str:
+    """Labels and expressions over the windows, as single-precision values rounded to ``digits`` (one more for those in ``finer``)."""
+    listed = ", ".join(f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), {digits + (n in finer)}) + 0.0 AS {n}" for n, v in columns.items())
     return f"WITH {SOURCE}{extra} SELECT event_id, {listed} FROM {source}"
 
 
@@ -132,9 +132,18 @@ def disorder() -> dict[str, str]:
     out["ts_binned_entropy"] = f"-list_sum([{share} * ln({share}) FOR y IN list_distinct({bins})])"
     for b in (2, 5, 10):
         out[f"ts_fourier_entropy_b{b}"] = f"-{total(f'(p[i] / pp) * ln(p[i] / pp + {EPS})', 1, 12)}"
+        out[f"ts_lempel_ziv_b{b}"] = parse_length(b)
     return out
 
 
+def parse_length(base: int) -> str:
+    """Phrases of an incremental parse of the window's bins; the state of the fold is the open phrase, then all closed ones."""
+    symbols = f"[CAST(least(CAST(floor((x - lo) / (hi - lo) * {base}) AS INTEGER), {base - 1}) AS VARCHAR) FOR x IN w]"
+    still, closed = "split_part(a, '#', 1) || b", "split_part(a, '#', 2)"
+    fold = f"list_reduce(['#|'] || {symbols}, lambda a, b: CASE WHEN contains({closed}, '|' || {still} || '|') THEN {still} || '#' || {closed} ELSE '#' || {closed} || {still} || '|' END)"
+    return f"(len(string_split(split_part({fold}, '#', 2), '|')) - 2) / {max(T / max(math.log(T + 1, base), 1), 1)!r}"
+
+
 def slope_of(values: str, n: int, first: int = 1) -> str:
     """Least-squares slope of ``n`` list entries from ``first`` on."""
     return f"({total(f'{values}[i] * (i - {first} - {(n - 1) / 2})', first, first + n)} / {n * (n * n - 1) / 12})"
@@ -219,6 +228,16 @@ def advanced() -> dict[str, str]:
     return out | {"ts_sum_reoccurring_val": f"coalesce(list_sum({again}), 0)", "ts_sum_reoccurring_dp": f"len({again})", "ts_value_count_0": count("w[i] = 0", 1, 21)}
 
 
+def efficient(names: list[str]) -> dict[str, str]:
+    """The efficient bank: the features it shares with the comprehensive one, and those whose parameters differ."""
+    out = moments() | memory() | spectrum() | disorder() | trend() | counts() | corridors() | advanced()
+    out |= {f"ts_pacf_lag{j}": " - ".join([f"acf[{j}]", *(f"acf[{a}] * acf[{j - a}]" for a in range(1, j))]) for j in (5, 10)}
+    mean = f"({total('acf[i]', 1, 11)} / 10)"
+    out |= {"ts_agg_acf_mean": mean, "ts_agg_acf_median": "list_sort(acf[1:10])[5]", "ts_agg_acf_var": f"{total(f'(acf[i] - {mean}) * (acf[i] - {mean})', 1, 11)} / 9"}
+    out |= {"ts_approx_entropy_r0.2": out["ts_sample_entropy"], "ts_cwt_peaks_s3": peaks(3)}
+    return {n: out[n] for n in names}
+
+
 def canonical() -> dict[str, str]:
     def mode(n: int) -> str:
         bins = f"[least(CAST(floor((x - lo) / (hi - lo) * {n}) AS INTEGER), {n - 1}) FOR x IN w]"
@@ -297,19 +316,48 @@ t4 AS (SELECT *, [thirds[i] * 3 + thirds[i + 1] FOR i IN range(1, 20)] AS pairs,
     return query(renamed(found), extra, "t4")
 
 
-def signature_query() -> str:
-    """Levels 1 to 3 of (time, value, volume), scaled, with sums over strictly earlier steps."""
-    scale = lambda v: f"[(y - list_avg({v})) / greatest(list_stddev_samp({v}), {EPS}) FOR y IN {v}]"
-    extra = f""",
-s0 AS (SELECT event_id, [{scale('[t / 19.0 FOR t IN range(0, 20)]')}, {scale('w')}, {scale('u')}] AS ch FROM f),
-s1 AS (SELECT event_id, [[c[i + 1] - c[i] FOR i IN range(1, 20)] FOR c IN ch] AS dx FROM s0),
-s2 AS (SELECT *, [[[coalesce(list_sum(dx[a][1:t - 1]), 0) * dx[b][t] FOR t IN range(1, 20)] FOR b IN range(1, 4)] FOR a IN range(1, 4)] AS area FROM s1)
+def signature_terms(d: int, steps: int, depth: int) -> tuple[str, dict[str, str]]:
+    """CTEs from the channels ``ch`` of ``s0`` to increments and areas, and the terms of the first ``depth`` levels."""
+    extra = f"""
+s1 AS (SELECT * EXCLUDE (ch), [[c[i + 1] - c[i] FOR i IN range(1, {steps + 1})] FOR c IN ch] AS dx FROM s0),
+s2 AS (SELECT *, [[[coalesce(list_sum(dx[a][1:t - 1]), 0) * dx[b][t] FOR t IN range(1, {steps + 1})] FOR b IN range(1, {d + 1})] FOR a IN range(1, {d + 1})] AS area FROM s1)
 """
-    out = {f"sig_L1_ch{a}": f"list_sum(dx[{a + 1}])" for a in range(3)}
-    out |= {f"sig_L2_ch{a}_{b}": f"list_sum(area[{a + 1}][{b + 1}])" for a in range(3) for b in range(3)}
-    third = lambda a, b, c: total(f"coalesce(list_sum(area[{a + 1}][{b + 1}][1:i - 1]), 0) * dx[{c + 1}][i]", 1, 20)
-    out |= {f"sig_L3_ch{a}_{b}_{c}": third(a, b, c) for a in range(3) for b in range(3) for c in range(3)}
-    return query(renamed(out), extra, "s2")
+    out = {f"sig_L1_ch{a}": f"list_sum(dx[{a + 1}])" for a in range(d)}
+    if depth >= 2:
+        out |= {f"sig_L2_ch{a}_{b}": f"list_sum(area[{a + 1}][{b + 1}])" for a in range(d) for b in range(d)}
+    if depth >= 3:
+        third = lambda a, b, c: total(f"coalesce(list_sum(area[{a + 1}][{b + 1}][1:i - 1]), 0) * dx[{c + 1}][i]", 1, steps + 1)
+        out |= {f"sig_L3_ch{a}_{b}_{c}": third(a, b, c) for a in range(d) for b in range(d) for c in range(d)}
+    return extra, out
+
+
+def scaled(v: str) -> str:
+    return f"[(y - list_avg({v})) / greatest(list_stddev_samp({v}), {EPS}) FOR y IN {v}]"
+
+
+TIME = "[t / 19.0 FOR t IN range(0, 20)]"
+
+
+def signature_query(depth: int = 3, digits: int = 4) -> str:
+    """Terms of (time, value, volume), scaled, with sums over strictly earlier steps."""
+    extra, out = signature_terms(3, 19, depth)
+    return query(renamed(out), f",\ns0 AS (SELECT event_id, [{scaled(TIME)}, {scaled('w')}, {scaled('u')}] AS ch FROM f),{extra}", "s2", digits)
+
+
+def lead_lag_query(depth: int = 2) -> tuple[str, dict[str, str]]:
+    """The same with each channel twice, the second a step behind."""
+    twice = lambda v, late: scaled(f"[{v}[(i + {late}) // 2 + 1] FOR i IN range(0, 39)]")
+    extra, out = signature_terms(6, 38, depth)
+    channels = ", ".join(twice(v, late) for late in (1, 0) for v in (f"({TIME})", "w", "u"))
+    return query(renamed(out), f",\ns0 AS (SELECT event_id, [{channels}] AS ch FROM f),{extra}", "s2"), out
+
+
+def vector_signature_query(size: int = 64) -> tuple[str, dict[str, str]]:
+    """Terms of (time, value) of the embeddings' arrays, each taken for a window of one channel."""
+    extra, out = signature_terms(2, size - 1, 3)
+    time = f"[t / {size - 1}.0 FOR t IN range(0, {size})]"
+    columns = ", ".join(f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 3) + 0.0 AS {n.lower()}" for n, v in out.items())
+    return f"WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS w FROM embeddings), s0 AS (SELECT vec_id, [{scaled(time)}, {scaled('w')}] AS ch FROM v),{extra} SELECT vec_id, {columns} FROM s2", out
 
 
 def wavelet_parts(name: str) -> tuple[list[str], dict[str, int], str]:
@@ -348,7 +396,28 @@ def wavelet_query(name: str, digits: int = 4) -> tuple[str, dict[str, str]]:
         }
     whole = f"greatest({' + '.join(energy.values())}, {EPS})"
     out |= {f"wl_{name}_eratio_{'approx' if k == deep else k}": f"{energy[k]} / {whole}" for k in order}
-    return query(renamed(out), "," + ",\n".join(ctes), source, digits), out
+    level = min(3, int(deep[1:]))
+    n = sizes.get(f"d{level}") or sizes[deep]  # an approximation is as long as the detail of its level
+    at = [max((i + 0.5) * n / T - 0.5, 0) for i in range(T)]
+    cell = lambda k: f"{name}_a{level}[{min(k, n - 1) + 1}]"
+    smooth = ", ".join(f"{cell(int(x))} + ({cell(int(x) + 1)} - {cell(int(x))}) * {x - int(x)!r}" for x in at)
+    ctes.append(f"sm AS (SELECT *, [{smooth}] AS sm, [y - list_avg(w) FOR y IN w] AS wc FROM {source})")
+    ctes.append("sn AS (SELECT *, [y - list_avg(sm) FOR y IN sm] AS sc FROM sm)")
+    norm = lambda v: f"sqrt(list_sum([y * y FOR y IN {v}]))"
+    out |= {"wl_denoised_corr": f"{total('wc[i] * sc[i]', 1, T + 1)} / ({norm('wc')} * {norm('sc')} + {EPS})", "wl_noise_level": f"list_stddev_samp([w[i] - sm[i] FOR i IN range(1, {T + 1})])"}
+    return query(renamed(out), "," + ",\n".join(ctes), "sn", digits), out
+
+
+def gaps_query() -> str:
+    """Moments where every eleventh value is null: a window with a gap has none of them, apart from its mean change."""
+    gone = "len(list_filter(w, lambda q: q IS NULL)) > 0"
+    found = {n: f"CASE WHEN {gone} THEN {'coalesce((w[20] - w[1]) / 19, 0)' if n == 'ts_mean_change' else '0'} ELSE {v} END" for n, v in moments().items()}
+    return query(renamed(found)).replace("CAST(CAST(value AS FLOAT) AS DOUBLE) AS x", "CASE WHEN event_id % 11 <> 0 THEN CAST(CAST(value AS FLOAT) AS DOUBLE) END AS x")
+
+
+def every_row(sql: str, columns: list[str]) -> str:
+    """The features of all events; zero where no full window ends."""
+    return f"SELECT r.event_id, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in columns)} FROM events r LEFT JOIN ({sql}) USING (event_id)"
 
 
 def kernel_query(kernels: int, seed: int = 42) -> tuple[str, dict[str, str]]:
