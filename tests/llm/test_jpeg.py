@@ -145,3 +145,22 @@ def test_query_and_broken_files(spark):
     got = {r.k: r for r in jpeg.image_features(media, "k", "m").collect()}
     assert (got[1].width, got[1].height, len(got[1].thumbnail)) == (16, 8, 2) and all(got[k].width is None for k in (2, 3, 4, 5))
     assert jpeg.round_trip(docs.where("doc_id < 0")).count() == 0
+
+
+def test_every_broken_file_gives_nulls(spark):
+    import random
+
+    rng = random.Random(3)
+    fine = jpeg.store([jpeg.padded("some text " * 40)])[0]
+    at = fine.index(b"\xff\xc0")
+    no_factor = fine[: at + 11] + b"\x00" + fine[at + 12 :]
+    huge = fine[: at + 5] + b"\xff\xf8\xff\xf8" + fine[at + 9 :]
+    broken = [no_factor, huge, b"", b"\xff\xd8", fine[:60], fine[: at + 6]]
+    for _ in range(300):
+        raw = bytearray(fine)
+        for _ in range(rng.randint(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        broken.append(bytes(raw[: rng.randint(1, len(raw))]) if rng.random() < 0.3 else bytes(raw))
+    media = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([fine, *broken])] + [(999, None)], "k long, m binary")
+    got = {r.k: r for r in jpeg.image_features(media, "k", "m").collect()}
+    assert len(got) == len(broken) + 2 and got[0].width and all(got[k].width is None for k in (1, 2, 3, 4, 5, 6, 999))

@@ -61,25 +61,39 @@ def padded(text: str | None) -> bytes:
     return raw + bytes(max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
 
 
+#: Blocks that are coded at a time.
+TOGETHER = 1 << 14
+
+
+def _coded(data: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Entropy-coded blocks, each with the restart marker of its number in its image, and where each one ends."""
+    parts, ends, before = [], [], 0
+    for first in range(0, len(data), TOGETHER):
+        own = data[first : first + TOGETHER]
+        bits = np.zeros((len(own), BLOCK, 9), dtype=np.uint8)
+        bits[:, :, 1:] = np.unpackbits(own, axis=1).reshape(-1, BLOCK, 8)
+        out = np.empty((len(own), 74), dtype=np.uint8)
+        out[:, :72] = np.packbits(bits.reshape(len(own), -1), axis=1)
+        out[:, 72], out[:, 73] = 0xFF, 0xD0 + number[first : first + TOGETHER] % 8
+        stuffed = out == 0xFF
+        stuffed[:, 72] = False
+        repeats = 1 + stuffed.ravel()
+        where = repeats.cumsum()
+        flat = np.repeat(out.ravel(), repeats)
+        flat[where[stuffed.ravel()] - 1] = 0
+        parts.append(flat.tobytes())
+        ends.append(where[73::74] + before)
+        before += len(flat)
+    return b"".join(parts), np.concatenate(ends)
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
     """A JPEG for each payload, whose length must be a positive multiple of 64."""
     counts = np.array([len(p) // BLOCK for p in payloads])
     data = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, BLOCK)
-    bits = np.zeros((len(data), BLOCK, 9), dtype=np.uint8)
-    bits[:, :, 1:] = np.unpackbits(data, axis=1).reshape(-1, BLOCK, 8)
-    out = np.empty((len(data), 74), dtype=np.uint8)
-    out[:, :72] = np.packbits(bits.reshape(len(data), -1), axis=1)
-    ends = counts.cumsum()
-    number = np.arange(len(data)) - np.repeat(ends - counts, counts)
-    out[:, 72], out[:, 73] = 0xFF, 0xD0 + number % 8
-    stuffed = out == 0xFF
-    stuffed[:, 72] = False
-    repeats = 1 + stuffed.ravel()
-    where = repeats.cumsum()
-    flat = np.repeat(out.ravel(), repeats)
-    flat[where[stuffed.ravel()] - 1] = 0
-    edges = [0, *where[ends * 74 - 1].tolist()]
-    raw, images = flat.tobytes(), []
+    last = counts.cumsum()
+    raw, ends = _coded(data, np.arange(len(data)) - np.repeat(last - counts, counts))
+    edges, images = [0, *ends[last - 1].tolist()], []
     for i, n in enumerate(counts.tolist()):
         wide = int(np.ceil(np.sqrt(n)))
         high = -(-n // wide)
@@ -176,6 +190,8 @@ def parse(raw: bytes) -> Image:
             ids = [body[6 + 3 * i] for i in range(n)]
             image.components = [(body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, 0) for i in range(n)]
             wanted = [body[8 + 3 * i] for i in range(n)]
+            if any(not 1 <= f <= 4 for h, v, _ in image.components for f in (h, v)):
+                raise ValueError("a sampling factor is out of range")
         elif 0xC1 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("only baseline images are supported")
         elif marker == 0xDA:
@@ -210,9 +226,9 @@ def decode(files: list[bytes]) -> list[tuple[Image, list[tuple[Scan, np.ndarray,
     cuts = np.flatnonzero(marker)
     drop = stuffing | marker
     drop[cuts - 1] = True
-    kept = np.cumsum(~drop)  # how many bytes of data there are up to and with each place
     data = np.concatenate([coded[~drop], np.full(16, 0xFF, dtype=np.uint8)])
-    lane_end = kept[cuts]
+    lane_end = cuts + 1 - np.searchsorted(np.flatnonzero(drop), cuts, side="right")  # bytes of data up to each cut
+    del follows, stuffing, marker, drop
     lane_start = np.r_[0, lane_end[:-1]]
     lane_scan = np.searchsorted(first, cuts, side="right") - 1
     per_scan = np.bincount(lane_scan, minlength=len(scans))
@@ -234,6 +250,8 @@ def decode(files: list[bytes]) -> list[tuple[Image, list[tuple[Scan, np.ndarray,
         across, down = image.blocks(scan.components[0], mixed)
         h, v, _ = image.components[scan.components[0]]
         totals.append(across * down // (h * v) if mixed else across * down)
+        if totals[-1] * len(unit) > 4 * (scan.end - scan.start):  # a block takes two bits at least
+            raise ValueError("the data are too short for the sizes declared")
         slots.append(unit)
         units.append([(number(scan.dc[k]), number(scan.ac[k]), k) for k in unit])
     most = max(map(len, units), default=1)
@@ -259,9 +277,7 @@ def decode(files: list[bytes]) -> list[tuple[Image, list[tuple[Scan, np.ndarray,
 
 def _huffman(data, at, end, scan, todo, block, blocks, tables, table_of, n_slots) -> None:
     """Fill ``blocks``, one symbol of every open lane at a time."""
-    windows = np.zeros(len(data) - 7, dtype=np.uint64)
-    for k in range(8):
-        windows |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    windows = np.ndarray(len(data) - 7, dtype=">u8", buffer=data, strides=(1,))  # the eight bytes from each place on, without a copy
     flat = tables.ravel()
     open_lanes = np.flatnonzero(todo > 0)
     at, end, todo, block, scan = (x[open_lanes].astype(np.int64) for x in (at, end, todo, block, scan))
@@ -272,7 +288,7 @@ def _huffman(data, at, end, scan, todo, block, blocks, tables, table_of, n_slots
     while len(at):
         if (at >= end).any():
             raise ValueError("the data end too early")
-        window = windows[at >> 3] << (at & 7).astype(np.uint64)
+        window = windows[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)
         dc = k == 0
         code = flat[np.where(dc, own[:, 0], own[:, 1]) << 16 | (window >> np.uint64(48)).astype(np.int64)].astype(np.int64)
         length, symbol = code >> 8, code & 255
@@ -407,7 +423,7 @@ def image_features(images: DataFrame, key: str, media: str) -> DataFrame:
                     image, scans = decode([raw or b""])[0]
                     thumb = thumbnail(image, scans)
                     row = image.width, image.height, thumb.tobytes(), f"{average_hash(thumb):016x}"
-                except (ValueError, IndexError, struct.error, StopIteration):
+                except (ValueError, LookupError, ArithmeticError, TypeError, struct.error, StopIteration):
                     pass
                 for name, value in zip(schema.names, (own, *row), strict=True):
                     out[name].append(value)
