@@ -21,17 +21,18 @@ def slow(text):
                 places.append(i)
                 base.add(label)
     labels, score = set(base), 1.0 if base else 0.0
-    for line in lower(text).split("\n"):
-        own = WORD.findall(line)
-        size = licenses.BLOCK
-        blocks = [own] if len(own) <= size else [own[i : i + size] for i in range(0, len(own) - size // 2, size // 2)]
-        for block in blocks:
-            for template, label in licenses.TEMPLATES:
-                want = set(template.split())
-                share = len(want & set(block)) / len(want)
-                if len(want & set(block)) >= math.ceil(licenses.THRESHOLD * len(want) - 1e-9):
-                    labels.add(label)
-                    score = max(score, share)
+    for template, label in licenses.TEMPLATES:
+        want, n = set(template.split()), len(template.split())
+        size = 16
+        while size < 2 * n:
+            size *= 2
+        least = len(want) if len(want) < 8 else math.ceil(0.8 * len(want) - 1e-9)
+        starts = range(0, len(words) - size // 2, size // 2) if len(words) > size else [0]
+        for start in starts:
+            held = want & set(words[start : start + size])
+            if len(held) >= least:
+                labels.add(label)
+                score = max(score, len(held) / len(want))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
@@ -62,11 +63,33 @@ def test_rows_equal_brute_force(spark):
 
 
 def test_prefixes_are_short_and_rare_first():
-    index = licenses.index_templates(licenses.TEMPLATES, {b"the": 100, b"license": 90, b"mit": 1})
-    words = index.words[0]
-    assert words[-1] == b"the" and words[-2] == b"license"
-    indexed = {w for w, hits in index.prefix.items() if any(t == 0 for t, _ in hits)}
-    assert len(indexed) == len(words) - index.needed[0] + 1 and b"the" not in indexed
+    index = licenses.index_templates(licenses.TEMPLATES, {b"the": 100, b"license": 90, b"granted": 1})
+    t = next(i for i, (text, _) in enumerate(licenses.TEMPLATES) if text.startswith("permission is hereby granted free") and len(text.split()) < 40)
+    words = index.words[t].tolist()
+    by = {v: k for k, v in index.order.items()}
+    assert by[words[-1]] == b"the" and index.needed[t] < len(words)
+    indexed = {w for prefix in index.prefix.values() for w, hits in prefix.items() if any(own == t for own, _ in hits)}
+    assert indexed == set(words[: len(words) - index.needed[t] + 1]) and index.order[b"the"] not in indexed
+
+
+def test_time_grows_with_the_places():
+    import time
+
+    index = licenses.index_templates(licenses.TEMPLATES, {})
+    took = []
+    for n in (10_000, 40_000):
+        text = "under the mit license foo " * n
+        start = time.perf_counter()
+        out = licenses.scan_text(text, index)
+        took.append(time.perf_counter() - start)
+        assert out[:4] == (5 * n, n, 0, 5 * (n - 1))
+    assert took[1] < 10 * took[0]
+
+
+def test_one_word_tells_short_notices_apart():
+    index = licenses.index_templates(licenses.TEMPLATES, {})
+    assert licenses.scan_text("Released under the BSD license. It is a license of note.", index)[-2] == ""
+    assert licenses.scan_text("Released under\nthe MIT license.", index)[-2] == "mit"
 
 
 def test_wrapped_notices_are_found(spark):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from tidemark.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD
+from tidemark.llm.licenses import PHRASES, TEMPLATES, block_of, needed_of
 
 _FINE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
@@ -26,17 +24,19 @@ def licenses() -> str:
         parts = phrase.split()
         test = " AND ".join(f"ws[i + {k}] = '{p}'" for k, p in enumerate(parts))
         places.append(f"[{{'label': '{label}', 'at': i - 1}} FOR i IN range(1, len(ws) - {len(parts) - 2}) IF {test}]")
-    templates = []
+    templates, sizes = [], set()
     for text, label in TEMPLATES:
-        words = sorted(set(text.split()))
-        templates.append(f"('{label}', {words!r}, {max(1, math.ceil(THRESHOLD * len(words) - 1e-9))})")
-    return f"""WITH t(label, words, needed) AS (VALUES {', '.join(templates)}),
+        words, size = sorted(set(text.split())), block_of(len(text.split()))
+        sizes.add(size)
+        templates.append(f"('{label}', {words!r}, {needed_of(len(words))}, {size})")
+    known = sorted({w for text, _ in TEMPLATES for w in text.split()})
+    return f"""WITH t(label, words, needed, size) AS (VALUES {', '.join(templates)}),
 d AS (SELECT row_number() OVER () AS n, doc_id, translate(coalesce(text, ''), '{letters}', '{letters.lower()}') AS x FROM documents),
 w AS (SELECT *, {_words('x')} AS ws FROM d),
 p AS (SELECT *, {' || '.join(places)} AS places FROM w),
-l AS (SELECT n, {_words('line')} AS ws FROM (SELECT n, unnest(string_split(x, chr(10))) AS line FROM d)),
-b AS (SELECT n, list_distinct(ws[s + 1:s + {BLOCK}]) AS words FROM (SELECT n, ws, unnest(CASE WHEN len(ws) <= {BLOCK} THEN [0] ELSE range(0, len(ws) - {BLOCK // 2}, {BLOCK // 2}) END) AS s FROM l)),
-m AS (SELECT b.n, t.label, len(list_intersect(b.words, t.words)) / len(t.words) AS share FROM b JOIN t ON len(list_intersect(b.words, t.words)) >= t.needed),
+z(size) AS (VALUES {', '.join(f'({size})' for size in sorted(sizes))}),
+b AS (SELECT n, size, list_intersect(list_distinct(ws[s + 1:s + size]), {known!r}) AS words FROM (SELECT n, size, ws, unnest(CASE WHEN len(ws) <= size THEN [0] ELSE range(0, len(ws) - size // 2, size // 2) END) AS s FROM w, z)),
+m AS (SELECT b.n, t.label, len(list_intersect(b.words, t.words)) / len(t.words) AS share FROM b JOIN t ON b.size = t.size AND len(b.words) >= t.needed AND len(list_intersect(b.words, t.words)) >= t.needed),
 f AS (SELECT n, list(DISTINCT label) AS labels, max(share) AS share FROM m GROUP BY n)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min([q.at FOR q IN places]) AS BIGINT) AS first_word, CAST(list_max([q.at FOR q IN places]) AS BIGINT) AS last_word,
   array_to_string(list_sort(list_distinct([q.label FOR q IN places])), ',') AS base_labels,
