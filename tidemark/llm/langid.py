@@ -7,30 +7,30 @@ largest cosine.  It is *rejected* when that cosine lies further from one than th
 length in that language (see ``REJECT_SHARE``).
 
 Scale.  Document frequencies are counted over all training rows (summed per task, then by bucket: at most 2**bits
-rows).  Centroids are fitted from at most about ``sample_per_lang`` rows per language, chosen by a hash of the id.
+rows).  Centroids are fitted from at most about ``sample_per_lang`` rows per language, chosen by a hash of the text.
 The model is a few MB whatever the input; prediction is a scan without a shuffle.
 
-Edge cases.  Null text or text without any letter: ``und``, score 0, rejected.  Rows with null language do not train.
+Edge cases.  Null text or text without any letter (Unicode category L): ``und``, score 0, rejected.  Rows with null language do not train.
 An empty training table gives a model without centroids: every text is ``und``.  Repeated rows each get a row.
 Ties go to the language that sorts first.  Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import GramHasher, hashed_fraction, keep_rows, map_batches
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: A text is rejected below this share of the cosine that all but ``TAIL`` of the training texts of its length reach.
-REJECT_SHARE, TAIL = 0.5, 0.005
+REJECT_SHARE, TAIL = 0.6, 0.005
 #: Length classes of the rejection distances: powers of two of the text's bytes.
 LENGTHS = 24
 
@@ -122,15 +122,16 @@ def document_frequencies(train: DataFrame, bits: int) -> tuple[int, np.ndarray,
 
 
 def fit(train: DataFrame, *, bits: int = 13, clusters: int = 6, sample_per_lang: int = 500) -> LanguageModel:
-    """A model from ``doc_id, text, lang`` rows; ``sample_per_lang`` bounds (in expectation) what fits the centroids."""
-    train = train.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    """A model from ``text, lang`` rows; ``sample_per_lang`` bounds (in expectation) the different texts that fit the centroids."""
+    train = train.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     total, held, langs = document_frequencies(train, bits)
     idf = (np.log((1 + total) / (1 + held)) + 1).astype(np.float32)
     names = sorted(langs)
     if not names:
         return LanguageModel([], idf, np.zeros((0, 1 << bits), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)), bits)
     share = F.create_map(*[x for name in names for x in (F.lit(name), F.lit(min(1.0, sample_per_lang / langs[name])))])
-    sample = train.where(hashed_fraction(F.col("doc_id")) < share[F.col("lang")])
+    # copies of a text fall together, so they are merged before a language's texts meet
+    sample = train.where(hashed_fraction(F.col("text")) < share[F.col("lang")]).dropDuplicates()
     schema = T.StructType(
         [T.StructField("lang", T.StringType()), T.StructField("centroids", T.ArrayType(T.FloatType())), T.StructField("least", T.ArrayType(T.DoubleType()))]
     )
@@ -139,8 +140,7 @@ def fit(train: DataFrame, *, bits: int = 13, clusters: int = 6, sample_per_lang:
         import pandas as pd
 
         hasher = GramHasher(bits)
-        frame = frame.sort_values("doc_id")
-        texts = [t for t in frame["text"] if LETTER.search(t)] or [""]
+        texts = [t for t in sorted(frame["text"]) if LETTER.search(t)] or [""]
         rows = np.stack([weigh(hasher.counts(t), idf) for t in texts])
         found = spherical_kmeans(rows, clusters)
         reached, sizes = (rows @ found.T).max(axis=1), np.array([length_class(t) for t in texts])

@@ -13,9 +13,9 @@ from tidemark.llm.common import crc_of_id, table
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_of_id(F.col("doc_id")) % 4 == 2
+    held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))  # a row without an id is not held out
     model = langid.fit(docs.where(~held_out))
-    return langid.predict(docs, model).withColumn("held_out", crc_of_id(F.col("doc_id")) % 4 == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return langid.predict(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
