@@ -33,6 +33,73 @@ def test_language(spark):
     assert langid.predict(docs.where("doc_id < 0"), model).count() == 0
 
 
+def slow_vector(text, held, total, bits):
+    """The unit vector of a text by loops over its bytes: bucket to weight."""
+    raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in f" {text.lower()} ".encode()]
+    seen = {}
+    for size, multiplier in zip((2, 3, 4), (2654435761, 2246822519, 3266489917), strict=True):
+        for i in range(len(raw) - size + 1):
+            gram = sum(raw[i + k] << (8 * k) for k in range(size))
+            bucket = (gram * multiplier % (1 << 32)) >> (32 - bits)
+            seen[bucket] = seen.get(bucket, 0) + 1
+    weights = {b: np.log1p(n) * (np.log((1 + total) / (1 + held.get(b, 0))) + 1) for b, n in seen.items()}
+    norm = sum(w * w for w in weights.values()) ** 0.5
+    return {b: w / norm for b, w in weights.items()}
+
+
+def test_language_equals_loops_over_all_centroids(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, lang, rng.randint(3, 30)), lang) for i, lang in enumerate(rng.choices(list(SYLLABLES), k=240))]
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string, lang string")
+    train = [*(r for r in rows if r[0] < 180), *rows[:3]]
+    model = langid.fit(docs.where("doc_id < 180"))
+    held = {}
+    for _, text, _ in train:
+        for b in slow_vector(text, {}, 0, model.bits):
+            held[b] = held.get(b, 0) + 1
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        vector = slow_vector(text, held, len(train), model.bits)
+        best = {}
+        for centroid, owner in zip(model.centroids, model.owner, strict=True):
+            cosine = sum(w * float(centroid[b]) for b, w in vector.items())
+            best[model.langs[owner]] = max(best.get(model.langs[owner], -1.0), cosine)
+        lang = max(sorted(best), key=best.get)
+        assert abs(got[i].score - best[lang]) < 1e-4
+        assert got[i].lang_pred == lang or best[lang] - best[got[i].lang_pred] < 1e-5
+
+
+def test_letters_are_those_of_the_category(spark):
+    texts = ["½ ² ① Ⅷ", "12 ½", "ª", "日本", "ǅ", "ʰ", "_", "\u0301", ""]
+    docs = spark.createDataFrame([(i, t, "aa" if i > 2 else None) for i, t in enumerate(texts * 3)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert [got[i] == "und" for i in range(9)] == [not any(c.isalpha() for c in t) for t in texts]
+
+
+def test_samples_hold_copies_once(spark):
+    rng = random.Random(6)
+    rows = [(7, "a copy of one text", "aa")] * 3000 + [(7 if i % 2 else i, prose(rng, "bb", 12), "aa") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_per_lang=3300)
+    assert model.langs == ["aa"] and (model.centroids @ model.centroids.T).min() < 0.9  # copies do not crowd the others out
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    assert 0 < quality.fit(docs, labels).prior < 1
+
+
+def test_arrow_setting_of_the_session_stays(spark):
+    from tidemark.llm import common
+
+    before = spark.conf.getAll.get(common._BATCH_SETTING)
+    spark.conf.set(common._BATCH_SETTING, "64m")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert common.small_batches(docs) is docs and spark.conf.get(common._BATCH_SETTING) == "64m"
+    spark.conf.unset(common._BATCH_SETTING)
+    common.small_batches(docs)
+    assert int(spark.conf.get(common._BATCH_SETTING)) == common.BATCH_BYTES
+    if before is not None:
+        spark.conf.set(common._BATCH_SETTING, before)
+
+
 def quality_rows(rng, n=400):
     out = []
     for i in range(n):
@@ -67,6 +134,51 @@ def test_sites_shrink_toward_parents(spark):
     assert out["a", "p"] > 0.8 and out["b", "p"] < 0.3 and 0.3 < out["c", "q"] < 0.85
 
 
+def slow_posterior(rows, clip=lambda v, a, b: min(b, max(a, v))):
+    """Posteriors of (host, path, probability) rows by loops."""
+    def worth(groups, parents):
+        n = sum(len(g) for g in groups)
+        nn = sum(len(g) ** 2 for g in groups)
+        if not n or len(groups) < 2 or n * n <= nn:
+            return 1e6
+        between = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, parents, strict=True))
+        v = sum(m * (1 - m) for m in parents) / len(groups)
+        spread = (between - (len(groups) - 1) * v) / (n - nn / n)
+        return clip(v / max(spread, 1e-9) - 1, 1.0, 1e6)
+
+    rate = clip(sum(p for *_, p in rows) / len(rows), 1e-4, 1 - 1e-4)
+    hosts, paths = {}, {}
+    for h, s, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, s), []).append(p)
+    by_host = worth(list(hosts.values()), [rate] * len(hosts))
+    host_rate = {h: (sum(g) + by_host * rate) / (len(g) + by_host) for h, g in hosts.items()}
+    by_path = worth(list(paths.values()), [host_rate[h] for h, _ in paths])
+    logit = lambda v: np.log(clip(v, 1e-6, 1 - 1e-6) / (1 - clip(v, 1e-6, 1 - 1e-6)))
+    out = []
+    for h, s, p in rows:
+        above = (sum(hosts[h]) - p + by_host * rate) / (len(hosts[h]) - 1 + by_host)
+        site = (sum(paths[h, s]) - p + by_path * above) / (len(paths[h, s]) - 1 + by_path)
+        out.append((site, 1 / (1 + np.exp(-(logit(p) + logit(site) - np.log(rate / (1 - rate)))))))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_posterior_equals_loops(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for h in range(9):
+        for s in range(rng.randint(1, 5)):
+            level = rng.random()
+            rows += [(f"h{h}", f"p{s}", min(1.0, max(0.0, rng.gauss(level, 0.15)))) for _ in range(rng.choice([1, 2, 30]))]
+    rows += rows[:2]
+    scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, p_doc double")
+    got = {r.doc_id: (r.p_site, r.score) for r in quality.posterior(scored, quality.sites(scored)).collect()}
+    assert len(got) == len(rows)
+    for i, want in enumerate(slow_posterior(rows)):
+        assert np.allclose(got[i], want, rtol=1e-9, atol=1e-12), rows[i]
+
+
 @pytest.fixture(scope="module")
 def secrets(spark):
     rng = random.Random(2)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.shared import cut, discard, shared_folder, written
+
+__all__ = ["GramHasher", "crc_of_id", "cut", "discard", "hashed_fraction", "keep_rows", "map_batches", "shared_folder", "small_batches", "small_parts", "table", "written"]
+
 #: Bytes of text that one Arrow batch hands to Python, unless a single row is longer.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -22,37 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder; its lineage ends there.
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands Python at most ``BATCH_BYTES`` at a time, so that texts of any length need bounded memory.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only where none is set (tests on one
-    machine) does a temporary folder take its place.
+    A limit that the session sets itself stays as it is.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: like ``cut``, but later passes read only the columns they need."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session hands Python at most ``BATCH_BYTES`` at a time, so that texts of any length need bounded memory."""
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
-        conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+    if _BATCH_SETTING not in conf.getAll:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df
 
 
@@ -71,14 +50,6 @@ def map_batches(df: DataFrame, body: Callable[[Iterator[dict]], Iterator[dict]],
     return small_batches(df).mapInArrow(run, schema)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made, through the store's own file system."""
-    spark = df.sparkSession
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``BATCH_BYTES``."""
     for batch in batches:
@@ -108,9 +79,9 @@ def crc_of_id(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def hashed_fraction(column) -> F.Column:
-    """A number in [0, 1) that depends on the value alone, for repeatable bounded samples."""
-    return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def hashed_fraction(*columns) -> F.Column:
+    """A number in [0, 1) that depends on the values alone, for repeatable bounded samples of rows that are merged first."""
+    return F.pmod(F.xxhash64(*columns, F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 class GramHasher:

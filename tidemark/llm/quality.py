@@ -6,7 +6,7 @@ path's rate toward its host's; how strongly follows from the spread between grou
 with few documents says little and a large one speaks for itself.  A document's own share is left out of its site's
 sums.  The posterior odds are the classifier's odds times the site's odds over the global odds.
 
-Scale.  The classifier is fitted on at most about ``sample`` labelled rows, chosen by a hash of the id.  Scores are
+Scale.  The classifier is fitted on at most about ``sample`` labelled rows, chosen by a hash of id and text.  Scores are
 computed once and kept (ids and numbers, no text); sums by site are partial aggregates, so one host with a third of
 all rows is one row after the map side.  The site table joins back as a broadcast while its summed size allows; beyond that
 as a shuffle join, in which adaptive execution splits a hot host.
@@ -94,15 +94,15 @@ class DocumentModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, ridge: float = 2.0) -> DocumentModel:
-    """The document classifier, from at most about ``sample`` labelled rows."""
-    known = labels.select("doc_id", F.col("quality").cast("double").alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL")
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(hashed_fraction(F.col("doc_id")) < share)
-    # the text is read once and never shuffled: statistics first, for the chosen ids alone
-    drawn = docs.select("doc_id", "text").where(hashed_fraction(F.col("doc_id")) < share)
+    """The document classifier, from at most about ``sample`` different labelled rows."""
+    known = labels.select("doc_id", F.col("quality").cast("double").alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL").distinct()
+    labelled = docs.select("doc_id").join(known.select("doc_id").distinct(), "doc_id", "left_semi").count()
+    share = min(1.0, sample / max(1, labelled))
+    # the text is read once and never shuffled: statistics first, for a share of the texts; copies are merged after
+    drawn = docs.select("doc_id", "text").where(hashed_fraction(F.col("doc_id"), F.col("text")) < share)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     rows = map_batches(drawn, lambda batches: ({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]]} for b in batches), schema)
-    rows = rows.join(chosen, "doc_id").select("doc_id", "x", "good").collect()
+    rows = rows.dropDuplicates().join(known, "doc_id").select("doc_id", "x", "good").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x, r.good))
     x, y = np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.good for r in rows])
     if len(set(y.tolist())) < 2:
