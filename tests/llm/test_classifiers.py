@@ -204,7 +204,7 @@ def test_secrets(spark, secrets):
     odd = [(900, None, None), (901, "", "x"), (902, "a" * 50_000, "x"), (0, rows[0][1], "src/config")]
     docs = spark.createDataFrame([(*r, "s") for r in rows + odd], "doc_id long, text string, source string, spans string")
     model = secret_scan.fit(docs)
-    assert len(model.corpus.words) <= secret_scan.DICTIONARY
+    assert 0 < len(model.corpus.words) <= 1 / secret_scan.SHARE
     out = {r.doc_id: r for r in secret_scan.scan(docs, model).collect()}
     missed = [i for i in want if out[i].spans != want[i]]
     false = [i for i, r in out.items() if i not in want and r.n_secrets]
@@ -225,3 +225,106 @@ def test_forest_learns_a_rule():
     y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
     forest = secret_scan.Forest(30, 8).fit(x[:600], y[:600])
     assert ((forest.score(x[600:]) > 0.5) == (y[600:] > 0.5)).mean() > 0.93
+
+
+def slow_forest(forest, rows):
+    """Mean over the trees of the leaf that a walk ends in."""
+    out = []
+    for row in rows:
+        total = 0.0
+        for t in range(forest.trees):
+            node = 1
+            while forest.feature[t, node] >= 0:
+                j = forest.feature[t, node]
+                binned = sum(row[j] >= e for e in forest.edges[j])
+                node = 2 * node + int(binned >= forest.least[t, node])
+            total += forest.value[t, node]
+        out.append(total / forest.trees)
+    return out
+
+
+def slow_spans(text):
+    """Candidates by one loop for each kind."""
+    import re
+
+    found = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_\-]{16,}={0,2}", text)]
+    found += [(a, DOT.end()) for a, _ in found if (DOT := re.compile(r"[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){2,}").match(text, a))]
+    for m in secret_scan.ASSIGNED.finditer(text):
+        value = m[1]
+        while value and value[-1] in ".:)]}":
+            value = value[:-1]
+        found += [(m.start(1), m.start(1) + len(value))] * (len(value) >= 6)
+    found += [m.span(1) for m in secret_scan.ADDRESS.finditer(text)]
+    found += [m.span() for m in re.finditer(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----.*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----", text, re.DOTALL)]
+    out, at = [], 0
+    while rest := [x for x in found if x[0] >= at]:
+        best = min(rest, key=lambda x: (x[0], -x[1]))
+        out.append(best)
+        at = best[1]
+    return out
+
+
+def test_secrets_equal_a_walk_through_the_forest(spark, secrets):
+    rng = random.Random(8)
+    parts = ["password = hunter2!", "token: 'abcdefgh'", "a.b", "https://me:pa55w0rd@host.example/x", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcdefgh12345678", "-----BEGIN RSA PRIVATE KEY-----\nAbc+/12=\n-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "secret=", "auth: \"x", "0123456789abcdef0123", "\n", " ", "é", "pwd=(abcdefg).", "====", "api_key=>ZZZZZZZZ9"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(300)] + [t for _, t, _ in secrets[0][:60]]
+    docs = spark.createDataFrame([(i, t, "src/config") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    model = secret_scan.fit(docs)
+    got = {r.doc_id: r for r in secret_scan.scan(docs, model).collect()}
+    for i, text in enumerate(texts):
+        own = slow_spans(text)
+        assert secret_scan.spans(text) == own
+        rows = [secret_scan.describe(secret_scan.Finding(text[a:b], text[max(0, a - 40) : a], text[b : b + 40], "src/config"), model.corpus) for a, b in own]
+        scores = slow_forest(model.forest, rows)
+        assert got[i].n_candidates == len(own) and abs(got[i].max_score - max(scores, default=0.0)) < 1e-9
+        assert got[i].spans == ",".join(f"{a}:{b}" for (a, b), v in zip(own, scores, strict=True) if v >= 0.5 - 1e-12)
+
+
+def test_forms_that_training_never_saw(spark):
+    rng = random.Random(9)
+    draw = lambda letters, k: "".join(rng.choices(letters, k=k))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    full = low + low.upper() + digits
+    words = [w.strip(".").lower() for _ in range(200) for w in prose(rng, "aa", 20).split()]
+    plain = lambda k=1: " ".join(rng.choices(words, k=k))
+    secret = {
+        "gitlab": lambda: f"glpat-{draw(full, 20)}",
+        "npm": lambda: f"npm_{draw(full, 36)}",
+        "slack": lambda: f"xoxb-{draw(digits, 12)}-{draw(digits, 12)}-{draw(full, 24)}",
+        "base32": lambda: f"secret: {draw(low + '234567', 26)}",
+        "mail": lambda: f"SG.{draw(full, 22)}.{draw(full, 43)}",
+        "password": lambda: f"passphrase = '{draw(full, 5)}-{draw(full, 5)}'",
+        "address": lambda: f"mongodb://{plain()}:{draw(full, 11)}@{plain()}.example:27017",
+        "block": lambda: f"-----BEGIN DSA PRIVATE KEY-----\n{draw(full, 64)}\n{draw(full, 30)}\n-----END DSA PRIVATE KEY-----",
+    }
+    harmless = {
+        "path": lambda: "/" + "/".join(rng.choices(words, k=5)) + ".txt",
+        "assigned": lambda: f"token: {max(rng.choices(words, k=9), key=len)} and",
+        "count": lambda: f"id {draw(digits, 18)}",
+        "constant": lambda: "_".join(rng.choices(words, k=4)).upper() + "_LIMIT",
+        "file": lambda: f"{plain()}_{plain()}_{plain()}_{plain()}_20240131.csv",
+        "method": lambda: plain() + "".join(w.capitalize() for w in rng.choices(words, k=4)) + "Id",
+    }
+    texts, kinds = [], []
+    for _ in range(60):
+        for kind, make in (secret | harmless).items():
+            texts.append(f"{plain(20)} {make()} {plain(20)}")
+            kinds.append(kind)
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    model = secret_scan.fit(docs)
+    hit = {}
+    for r in secret_scan.scan(docs, model).collect():
+        hit.setdefault(kinds[r.doc_id], []).append(r.n_secrets > 0)
+    rates = {k: sum(v) / len(v) for k, v in hit.items()}
+    print(rates)
+    assert np.mean([rates[k] for k in secret]) >= 0.9 and np.mean([rates[k] for k in harmless]) <= 0.05, rates
+
+
+def test_findings_come_from_a_table(spark, secrets):
+    made = secret_scan.training_findings(frozenset(SYLLABLES["aa"]), 400)
+    table = spark.createDataFrame([(f.token, f.before or None, f.after, f.path, f.secret) for f in made] * 2 + [(None, "", "", "", True), ("x", "", "", "", None)], "token string, before string, after string, path string, secret boolean")
+    read = secret_scan.findings_of(table)
+    assert set(read) == set(made) and 0 < len(secret_scan.findings_of(table, 100)) < 200
+    docs = spark.createDataFrame([(*r, "s") for r in secrets[0]], "doc_id long, text string, source string, spans string")
+    model = secret_scan.fit(docs, table)
+    assert secret_scan.scan(docs, model).where("n_secrets > 0").count() > 100

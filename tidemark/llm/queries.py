@@ -54,10 +54,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document."""
+def op9_secrets(spark: SparkSession, sf_dir: str, findings: str | None = None) -> DataFrame:
+    """Secrets in every document; ``findings`` may name a Parquet table of labelled ones to learn from."""
     docs = table(spark, sf_dir, "documents")
-    return secret_scan.scan(docs, secret_scan.fit(docs))
+    return secret_scan.scan(docs, secret_scan.fit(docs, None if findings is None else spark.read.parquet(findings)))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

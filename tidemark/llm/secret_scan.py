@@ -1,16 +1,20 @@
-"""Secret scanning: long tokens as candidates, a random forest to remove the false ones.
+"""Secret scanning: candidates by form and place, a random forest to remove the false ones.
 
-Method.  Every run of at least ``LEAST`` token characters is a candidate.  Its features are its length and character
-classes, how often the class changes, the mean log-probability of its character transitions under the corpus, its
-entropy, how much of it dictionary words cover, words in the document's path, and the neighbouring words and marks.
-A random forest, trained from labelled findings, scores it; a score of one half or more is a finding.
+Method.  Candidates are runs of at least ``LEAST`` token characters, three or more such runs joined by dots, what is
+assigned to a name like *password* (from ``LEAST_ASSIGNED`` characters on), passwords in addresses, and private key
+blocks.  Of candidates that overlap the one that starts first counts, of these the longest.  A candidate's features are
+its length and character classes, how often the class changes, the mean log-probability of its character transitions
+under the corpus, its entropy, how much of it dictionary words cover, words in the document's path, and the neighbouring
+words and marks.  A random forest, trained from labelled findings, scores it; a score of one half or more is a finding.
 
-Labelled findings.  The tables hold none, so ``training_findings`` writes them by rule: keys of common shapes in
-assignments (secret), and compounds of dictionary words, identifiers, numbers, placeholders and digests named as such
-(not secret).  Other labelled findings can be given to ``fit`` instead.
+Labelled findings.  ``fit`` takes a table of them (``findings_of``).  The tables at hand hold none, so
+``training_findings`` writes some by rule: keys of common shapes, passwords, addresses and key blocks (secret), and
+compounds of dictionary words, identifiers, numbers, placeholders, plain words assigned to such names, and digests named
+as such (not secret).  The tests measure the forest on forms that are not among these.
 
-Scale.  Transition and word counts cover all documents; they are summed per batch, then by key.  The dictionary keeps
-the most frequent words, at most ``DICTIONARY``.  The model is bounded, and scanning is one pass without a shuffle.
+Scale.  Transition and word counts cover all documents; they are summed per task, then by key.  The dictionary holds
+every word of 3 to 12 letters that makes up ``SHARE`` of all words or more, so it never holds more than ``1 / SHARE``
+words, whatever the corpus.  The model is bounded, and scanning is one pass without a shuffle.
 
 Edge cases.  Null or empty text has no candidates.  Very long candidates are scored whole.  Repeated rows get a row
 each.  A null path has no path words.  An empty table gives no rows; the forest then knows no dictionary.
@@ -29,12 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, map_batches, small_batches, small_parts
+from tidemark.llm.common import cut, hashed_fraction, map_batches, small_batches, small_parts
 
-LEAST = 16
+LEAST, LEAST_ASSIGNED = 16, 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-#: The dictionary's most words, and how often a word must occur: parts of secrets are mostly seen once.
-DICTIONARY, LEAST_SEEN = 20_000, 3
+DOTTED = re.compile(r"[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){2,}")
+#: Names that are given secret values.
+NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "credential", "auth")
+ASSIGNED = re.compile(rf"(?:{'|'.join(NAMES)})[A-Za-z0-9_]{{0,16}}[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}[\"'`]?([^\s\"'`,;<>]{{{LEAST_ASSIGNED},128}})", re.IGNORECASE)
+ADDRESS = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{1,15}://[^\s/:@]{1,64}:([^\s/@]{3,128})@")
+KEY_OPENS, KEY_CLOSES = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"), re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+#: The least share of all words that a dictionary word has, and how often it must occur: parts of secrets are mostly seen once.
+SHARE, LEAST_SEEN = 2e-6, 3
+#: Different words that a task counts before it passes them on.
+HELD_WORDS = 200_000
+#: Labelled findings that the forest is trained on, at most (in expectation), and how many are written by rule.
+MOST_FINDINGS, WRITTEN = 20_000, 8000
 PLACEHOLDER = "[SECRET]"
 #: Words that speak for or against a secret nearby, and in a path.
 FOR = frozenset("token key apikey api_key secret password passwd pwd auth authorization bearer credential credentials private access client_secret".split())
@@ -45,7 +59,7 @@ WORD = re.compile(r"[a-z0-9_]+")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 FEATURES = (
     "length", "digits", "upper", "lower", "marks", "class_changes", "transitions", "entropy", "covered", "distinct",
-    "path_for", "path_against", "word_for", "word_against", "assigned", "quoted",
+    "path_for", "path_against", "word_for", "word_against", "assigned", "quoted", "dots", "other", "in_address", "opens_block",
 )
 
 _INDEX = np.full(256, len(SYMBOLS), dtype=np.int64)
@@ -54,6 +68,8 @@ for _i, _c in enumerate(SYMBOLS):
 _STATES = len(SYMBOLS) + 1
 _KIND = np.full(256, 3, dtype=np.int8)
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 0, 1, 2
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/=_-."]] = True
 
 
 @dataclass(frozen=True)
@@ -80,32 +96,37 @@ def corpus_statistics(docs: DataFrame) -> Corpus:
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
 
     def body(batches):
+        pairs, seen, many = np.zeros(_STATES * _STATES, dtype=np.int64), {}, 0
+
+        def words():
+            return {"key": [w.decode() for w in seen], "n": list(seen.values())}
+
         for batch in batches:
-            pairs, seen = np.zeros(_STATES * _STATES, dtype=np.int64), {}
             for text in batch["text"]:
                 raw = (text or "").encode("utf-8", "replace").lower()
                 codes = _INDEX[np.frombuffer(raw, dtype=np.uint8)]
                 pairs += np.bincount(codes[:-1] * _STATES + codes[1:], minlength=_STATES * _STATES)
                 for word in raw.translate(_LETTERS).split():
-                    seen[word] = seen.get(word, 0) + 1
-            words = [(w, n) for w, n in seen.items() if 3 <= len(w) <= 12]
-            used = np.flatnonzero(pairs)
-            yield {"key": [f"#{i}" for i in used.tolist()] + [w.decode() for w, _ in words], "n": pairs[used].tolist() + [n for _, n in words]}
+                    many += 1
+                    if 3 <= len(word) <= 12:
+                        seen[word] = seen.get(word, 0) + 1
+            if len(seen) > HELD_WORDS:
+                yield words()
+                seen = {}
+        used = np.flatnonzero(pairs)
+        yield words()
+        yield {"key": [f"#{i}" for i in used.tolist()] + ["*"], "n": [*pairs[used].tolist(), many]}
 
     counts = cut(map_batches(docs.select("text"), body, schema).groupBy("key").agg(F.sum("n").alias("n")))
-    is_pair = F.col("key").startswith("#")
-    pairs = np.ones((_STATES, _STATES))
-    for row in counts.where(is_pair).collect():
-        pairs[divmod(int(row.key[1:]), _STATES)] += row.n
-    # the most frequent words by whole classes of frequency, so that no more than the dictionary reaches the driver
-    words = counts.where(~is_pair & (F.col("n") >= LEAST_SEEN)).withColumn("class", F.floor(F.log2("n") * 32))
-    room, least = DICTIONARY, None
-    for row in sorted(words.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
-        if row.n > room:
-            break
-        room, least = room - row.n, row["class"]
-    kept = [r.key for r in words.where(F.col("class") >= least).select("key").collect()] if least is not None else []
-    return Corpus(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(kept))
+    is_word = F.col("key").rlike("^[a-z]")
+    pairs, total = np.ones((_STATES, _STATES)), 0
+    for row in counts.where(~is_word).collect():
+        if row.key == "*":
+            total = row.n
+        else:
+            pairs[divmod(int(row.key[1:]), _STATES)] += row.n
+    kept = counts.where(is_word & (F.col("n") >= max(LEAST_SEEN, total * SHARE))).select("key").collect()
+    return Corpus(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(r.key for r in kept))
 
 
 _LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
@@ -133,70 +154,140 @@ def path_words(path: str) -> tuple[int, int]:
 
 def describe(finding: Finding, corpus: Corpus) -> list[float]:
     """The numbers named in ``FEATURES``."""
-    raw = np.frombuffer(finding.token.encode("ascii"), dtype=np.uint8)
+    raw = np.frombuffer(finding.token.encode("utf-8", "replace"), dtype=np.uint8)
     kinds = _KIND[raw]
     share = np.bincount(kinds, minlength=4) / len(raw)
     codes = _INDEX[raw]
-    counts = np.bincount(raw, minlength=128)
+    counts = np.bincount(raw, minlength=256)
     p = counts[counts > 0] / len(raw)
     near = WORD.findall(finding.before.lower())[-2:] + WORD.findall(finding.after.lower())[:1]
     path_for, path_against = path_words(finding.path)
     before = finding.before.rstrip(" \"'`")
     return [
-        float(len(raw)), *share.tolist(), float((kinds[1:] != kinds[:-1]).mean()), float(corpus.transitions[codes[:-1], codes[1:]].mean()), float(-(p * np.log2(p)).sum()),
+        float(len(raw)), *share.tolist(), float((kinds[1:] != kinds[:-1]).mean()) if len(raw) > 1 else 0.0, float(corpus.transitions[codes[:-1], codes[1:]].mean()) if len(raw) > 1 else 0.0, float(-(p * np.log2(p)).sum()),
         covered(finding.token, corpus.words), len(p) / len(raw), float(path_for), float(path_against), float(sum(w in FOR for w in near)), float(sum(w in AGAINST for w in near)),
         float(before[-1:] in ("=", ":", ">")), float(finding.before[-1:] in ("\"", "'", "`") and finding.after[:1] in ("\"", "'", "`")),
+        float((raw == 46).sum()), float((~_PLAIN[raw]).mean()), float(finding.after[:1] == "@" and "://" in finding.before), float(finding.token.startswith("-----BEGIN")),
     ]
 
 
-def candidates(text: str, path: str) -> list[tuple[int, int, Finding]]:
-    """Start, end (code points, end exclusive) and the candidate, for every candidate of the whole text."""
-    out = []
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end (code points, end exclusive) of every candidate of the whole text, in order and apart."""
+    found = []
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        out.append((start, end, Finding(m[0], text[max(0, start - 40) : start], text[end : end + 40], path)))
+        found.append(m.span())
+        if text[m.end() : m.end() + 1] == "." and (dotted := DOTTED.match(text, m.start())):
+            found.append(dotted.span())
+    lower = text.lower()
+    if any(name in lower for name in NAMES):
+        for m in ASSIGNED.finditer(text):
+            value = m[1].rstrip(".:)]}")
+            if len(value) >= LEAST_ASSIGNED:
+                found.append((m.start(1), m.start(1) + len(value)))
+    if "://" in text and "@" in text:
+        found += [m.span(1) for m in ADDRESS.finditer(text)]
+    at = 0
+    while opens := KEY_OPENS.search(text, at):
+        if not (closes := KEY_CLOSES.search(text, opens.end())):
+            break
+        found.append((opens.start(), closes.end()))
+        at = closes.end()
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
     return out
 
 
-def training_findings(words: frozenset[str], n: int = 6000, seed: int = 7) -> list[Finding]:
+def candidates(text: str, path: str) -> list[tuple[int, int, Finding]]:
+    """Start, end and the candidate with what stands around it."""
+    return [(a, b, Finding(text[a:b], text[max(0, a - 40) : a], text[b : b + 40], path)) for a, b in spans(text)]
+
+
+def findings_of(table: DataFrame, most: int = MOST_FINDINGS) -> list[Finding]:
+    """Labelled findings from ``token, before, after, path, secret`` rows, about ``most`` different ones; null texts are empty."""
+    names = ["token", "before", "after", "path"]
+    rows = table.where("token IS NOT NULL AND token != '' AND secret IS NOT NULL")
+    rows = rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names], F.col("secret").cast("boolean").alias("secret")).distinct()
+    share = min(1.0, most / max(1, rows.count()))
+    drawn = rows.where(hashed_fraction(*[F.col(n) for n in names]) < share).collect()
+    return [Finding(*r) for r in sorted(map(tuple, drawn))]
+
+
+def training_findings(words: frozenset[str], n: int = WRITTEN, seed: int = 7) -> list[Finding]:
     """``n`` labelled findings by rule, half of them secrets."""
     rng = random.Random(seed)
     common = sorted(words) or ["alpha", "beta", "gamma", "delta", "value", "record", "window", "table"]
-    names = ["token", "api_key", "secret", "password", "client_secret", "access", "auth"]
+    names = ["token", "api_key", "secret", "password", "client_secret", "access", "auth", "db_password"]
     draw = lambda letters, k: "".join(rng.choices(letters, k=k))
     full = SYMBOLS[:36] + SYMBOLS[:26].upper()
     plain = lambda: " ".join(rng.choices(common, k=3))
+    schemes = ["postgres", "mysql", "https", "redis", "amqp", "ftp"]
+
+    def assigned(around: tuple[str, str]) -> tuple[str, str]:
+        quote = rng.choice(["\"", "'", ""])
+        return around[0] + rng.choice(names) + rng.choice([" = ", "=", ": "]) + quote, quote + around[1]
+
+    def in_address() -> tuple[str, str]:
+        return f"{plain()} {rng.choice(schemes)}://{rng.choice(common)}:", f"@{rng.choice(common)}.example/{rng.choice(common)}"
+
+    def password() -> str:
+        if rng.random() < 0.5:
+            return draw(full + "!#$%&*?@^~", rng.randint(8, 15))
+        return rng.choice(common).capitalize()[:8] + rng.choice(["", "_", "#", "!", "@"]) + draw("0123456789", rng.randint(2, 5)) + rng.choice(["", "!", "?", "$", draw(full, 3)])
+
+    def piece() -> str:
+        return rng.choice(common) if rng.random() < 0.85 else rng.choice([draw("0123456789", rng.randint(1, 4)), f"v{rng.randrange(9)}"])
+
+    def secret(around):
+        kind = rng.randrange(12)
+        if kind == 8:
+            lines = "\n".join(draw(full + "+/", 64) for _ in range(rng.randint(2, 12)))
+            name = rng.choice(["RSA ", "EC ", "", "OPENSSH "])
+            return f"-----BEGIN {name}PRIVATE KEY-----\n{lines}\n-----END {name}PRIVATE KEY-----", around
+        if kind == 9:
+            return password(), in_address()
+        if kind == 10:
+            return password(), assigned(around)
+        if kind == 11:
+            return f"eyJ{draw(full, rng.randint(17, 40))}.eyJ{draw(full, rng.randint(20, 90))}.{draw(full + '_-', 43)}", assigned(around) if rng.random() < 0.5 else around
+        token = (
+            draw("0123456789abcdef", rng.choice([32, 40, 64])), draw("0123456789abcdef", rng.randint(16, 28)), draw(full, rng.randint(16, 64)), draw(full + "+/", 40) + "=",
+            "AKIA" + draw(SYMBOLS[:26].upper() + "234567", 16), draw(SYMBOLS[:36].upper(), rng.randint(18, 32)), "ghp_" + draw(full, 36), "sk-" + draw(full, 40),
+        )[kind]
+        return token, assigned(around) if rng.random() < 0.7 else around
+
+    def harmless(around):
+        kind = rng.choice((0, 1, 2, 2, 3, 4, 5, 6, 7, 8))
+        if kind <= 1:
+            token = "".join(rng.choices(common, k=6))[: rng.randint(16, 34)]
+            return token.capitalize() if rng.random() < 0.2 else token.upper() if rng.random() < 0.1 else token, around
+        if kind == 2:
+            pieces = [piece() for _ in range(rng.randint(3, 6))]
+            if rng.random() < 0.3:
+                return "".join(w.capitalize() for w in pieces)[:40], around
+            return rng.choice(["_", "-", "/"]).join(pieces), around
+        if kind == 3:
+            return draw("0123456789", rng.randint(16, 20)) if rng.random() < 0.6 else rng.choice("=-_x0a") * rng.randint(16, 60), around
+        if kind == 4:
+            token = rng.choice(["your_api_key_here", "REPLACE_WITH_TOKEN", "xxxxxxxxxxxxxxxxxxxx", "EXAMPLEKEYEXAMPLEKEY", "insert-your-token-here", "********", "${PASSWORD}", "{{secret}}", "changeme"])
+            return token, assigned(around)
+        if kind == 5:
+            return draw("0123456789abcdef", rng.choice([32, 40, 64])), (around[0] + rng.choice(["sha256", "md5", "checksum", "commit", "digest"]) + rng.choice([": ", " "]), around[1])
+        if kind == 6:
+            word = rng.choice([w for w in rng.choices(common, k=8) if len(w) >= LEAST_ASSIGNED] or ["required"])
+            return rng.choice([word, word, "required", "optional", "undefined", "getenv(name)", "config.value", word + "." + rng.choice(common)]), assigned(around)
+        if kind == 7:
+            return ".".join("".join(rng.choices(common, k=3))[:14].ljust(8, "a") for _ in range(rng.randint(3, 5))), around
+        return rng.choice(["password", "passwd", "<password>", "${DB_PASSWORD}", "xxxxx", "*****"]), in_address()
+
     out = []
     for i in range(n):
-        around = plain() + " ", " " + plain()
         path = rng.choice(["", "", f"src{rng.randrange(40)}", "app/config/settings", "docs/guide", "tests/data"])
-        if i % 2:
-            token = rng.choice(
-                [
-                    draw("0123456789abcdef", rng.choice([32, 40, 64])), draw("0123456789abcdef", rng.randint(16, 28)), draw(full, rng.randint(16, 64)), draw(full + "+/", 40) + "=",
-                    "AKIA" + draw(SYMBOLS[:26].upper() + "234567", 16), draw(SYMBOLS[:36].upper(), rng.randint(18, 32)), "ghp_" + draw(full, 36), "sk-" + draw(full, 40),
-                ]
-            )
-            if rng.random() < 0.7:
-                quote = rng.choice(["\"", "'", ""])
-                around = around[0] + rng.choice(names) + rng.choice([" = ", "=", ": "]) + quote, quote + around[1]
-            out.append(Finding(token, *around, path, True))
-            continue
-        kind = rng.randrange(6)
-        if kind <= 1:
-            token = "".join(rng.choices(common, k=6))[: rng.randint(16, 34)]
-            token = token.capitalize() if rng.random() < 0.2 else token.upper() if rng.random() < 0.1 else token
-        elif kind == 2:
-            token = rng.choice(["_", "-", "/"]).join(rng.choices(common, k=rng.randint(3, 6)))
-        elif kind == 3:
-            token = draw("0123456789", rng.randint(16, 20)) if rng.random() < 0.6 else rng.choice("=-_x*a".replace("*", "0")) * rng.randint(16, 60)
-        elif kind == 4:
-            token = rng.choice(["your_api_key_here", "REPLACE_WITH_TOKEN", "xxxxxxxxxxxxxxxxxxxx", "EXAMPLEKEYEXAMPLEKEY", "insert-your-token-here"])
-            around = around[0] + rng.choice(names) + " = ", around[1]
-        else:
-            token = draw("0123456789abcdef", rng.choice([32, 40, 64]))
-            around = around[0] + rng.choice(["sha256", "md5", "checksum", "commit", "digest"]) + rng.choice([": ", " "]), around[1]
-        out.append(Finding((token * 16)[:16] if len(token) < LEAST else token, *around, path, False))
+        token, around = (secret if i % 2 else harmless)((plain() + " ", " " + plain()))
+        if not i % 2 and around[0][-1:] == " " and len(token) < LEAST:
+            token = (token * 16)[:16]
+        out.append(Finding(token, around[0][-40:], around[1][:40], path, bool(i % 2)))
     return out
 
 
@@ -266,10 +357,10 @@ class SecretModel:
         return self.forest.score(np.array([describe(f, self.corpus) for f in found])) if found else np.zeros(0)
 
 
-def fit(docs: DataFrame, findings: list[Finding] | None = None) -> SecretModel:
+def fit(docs: DataFrame, findings: DataFrame | list[Finding] | None = None) -> SecretModel:
     """Corpus statistics over all documents, and a forest from labelled findings (by rule, if none are given)."""
     corpus = corpus_statistics(docs)
-    labelled = findings if findings is not None else training_findings(corpus.words)
+    labelled = findings_of(findings) if isinstance(findings, DataFrame) else findings if findings is not None else training_findings(corpus.words)
     x = np.array([describe(f, corpus) for f in labelled])
     return SecretModel(corpus, Forest().fit(x, np.array([float(f.secret) for f in labelled])))
 
