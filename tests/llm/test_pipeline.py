@@ -59,3 +59,62 @@ def test_texts_that_share_an_id_all_stay(spark):
     out = corpus_pipeline.near_duplicates(spark, docs, SF)
     kept = sorted((r.text or "").split(" more")[0] for r in out.collect())
     assert out.columns == docs.columns and kept == sorted([one, two, three, four, ""])
+
+
+def slow_groups(rows):
+    """Least id of each group of (id, text) rows, by all pairs: five-word shingles at 0.8, or fingerprints at two bits."""
+    import xxhash
+
+    def pieces(text, size):
+        words = (text or "").encode().lower().split()
+        return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+
+    def fingerprint(text):
+        hashes = [xxhash.xxh64_intdigest(p, 42) for p in pieces(text, 3)]
+        return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+    sets, prints = [set(pieces(t, 5)) for _, t in rows], [fingerprint(t) for _, t in rows]
+    label = [i for i, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for x in range(len(rows)):
+            for y in range(x):
+                union = sets[x] | sets[y]
+                near = not union or len(sets[x] & sets[y]) / len(union) >= 0.8 or (prints[x] ^ prints[y]).bit_count() <= 2
+                if near and label[x] != label[y]:
+                    label[x] = label[y] = min(label[x], label[y])
+                    changed = True
+    return {i: one for (i, _), one in zip(rows, label, strict=True)}
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(3000)]
+    rows = [(1000, None), (1001, ""), (1002, "One  two"), (1003, "one two"), (1004, "one two three")]
+    for base in range(14):  # texts short enough for an exact similarity
+        words = rng.choices(vocabulary, k=rng.randint(8, 110))
+        for copy in range(rng.randint(1, 6)):
+            own = words[:]
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            if copy % 3 == 2:
+                own = own[: int(len(own) * rng.uniform(0.7, 1))] + rng.choices(vocabulary, k=rng.randint(0, 4))
+            rows.append((len(rows) * 7 % 997, " ".join(own)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = slow_groups(rows)
+    got = {r.doc_id: r.component_id for r in simhash.joined_groups(docs.select("doc_id", "text")).collect()}
+    assert len(got) == len(rows) and got == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(set(want.values()))
+    assert len(set(want.values())) < len(rows) - 10
+
+
+def test_many_texts_of_the_same_words(spark):
+    rng = __import__("random").Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.sample(words, 40))) for i in range(4000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert len(kept) > 3900  # none of these is a near copy of another, but for few with close fingerprints

@@ -211,15 +211,19 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, print, component_id`` for every row of ``docs``."""
-    prints = cut(fingerprints(docs, shingle))
+def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``print, component_id`` of the distinct fingerprints of ``doc_id, print`` rows."""
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")))
     labels = components(close_links(distinct, max_bits))
     named = distinct.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = named.select("print", "label").join(least, "label").select("print", "component_id")
-    return prints.join(classes, "print").select("doc_id", "print", "component_id")
+    return named.select("print", "label").join(least, "label").select("print", "component_id")
+
+
+def groups(docs: DataFrame, *, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, print, component_id`` for every row of ``docs``."""
+    prints = cut(fingerprints(docs, shingle))
+    return prints.join(classes(prints, max_bits), "print").select("doc_id", "print", "component_id")
 
 
 #: Verified groups: words per shingle, least similarity, and hashes kept of a text.
@@ -236,6 +240,7 @@ _MIX = np.frombuffer(b"".join(xxhash.xxh64_digest(b"%d" % i, SEED) for i in rang
 PROFILES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("print", T.LongType()),
         T.StructField("content_a", T.LongType()),
         T.StructField("content_b", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
@@ -294,8 +299,8 @@ def similarities(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, kept: int
     return (same & (place < union[:, None])).sum(axis=1) / union
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """Of every whole text: a hash of its words in order, its bands, and its sketch."""
+def profiles(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """Of every whole text, in one pass: its fingerprint, a hash of its words in order, its bands, and its sketch."""
 
     def body(batches):
         for batch in batches:
@@ -305,7 +310,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 content = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(tokens)), dtype="<i8")
                 hashes = shingles(tokens)
                 kept = hashes[:SKETCH].astype(">u4").tobytes()
-                for name, value in zip(out, (doc_id, int(content[0]), int(content[1]), band_keys(hashes), kept), strict=True):
+                for name, value in zip(out, (doc_id, fingerprint(tokens, shingle), int(content[0]), int(content[1]), band_keys(hashes), kept), strict=True):
                     out[name].append(value)
             yield out
 
@@ -418,18 +423,31 @@ def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> Dat
     return map_batches(links.join(left, "a").join(right, "b").select("a", "b", "left", "right"), body, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
+def verified_classes(known: DataFrame) -> DataFrame:
+    """``content_a, content_b, component_id`` of the distinct texts of ``profiles`` rows."""
+    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
+    labels = components(verified_links(nodes))
+    return nodes.select("content_a", "content_b", "node").join(labels, "node", "left").select("content_a", "content_b", F.coalesce("label", "node").alias("component_id"))
+
+
 def verified_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for every row: texts equal word by word, and verified near copies, fall together."""
     known = cut(profiles(docs))
-    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
-    labels = components(verified_links(nodes))
-    named = nodes.select("content_a", "content_b", "node").join(labels, "node", "left").select("content_a", "content_b", F.coalesce("label", "node").alias("component_id"))
-    return known.select("doc_id", "content_a", "content_b").join(named, ["content_a", "content_b"]).select("doc_id", "component_id")
+    return known.select("doc_id", "content_a", "content_b").join(verified_classes(known), ["content_a", "content_b"]).select("doc_id", "component_id")
 
 
 def joined_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id``: what ``groups`` or ``verified_groups`` puts together; rows with one id must have one text."""
-    both = cut(groups(docs).select("doc_id", F.col("component_id").alias("one")).join(verified_groups(docs).withColumnRenamed("component_id", "two").dropDuplicates(["doc_id"]), "doc_id"))
+    """``doc_id, component_id``: what ``groups`` or ``verified_groups`` puts together; rows with one id must have one text.
+
+    Texts are read once for both.  Rows without an id take no part.
+    """
+    known = cut(profiles(docs.where("doc_id IS NOT NULL")))
+    prints = known.select("doc_id", "print", "content_a", "content_b")
+    one = classes(prints.select("doc_id", "print")).withColumnRenamed("component_id", "one")
+    two = verified_classes(known).withColumnRenamed("component_id", "two")
+    # equal texts have equal fingerprints: one row a text is enough for both
+    texts = prints.groupBy("content_a", "content_b").agg(F.first("print").alias("print"))
+    both = cut(texts.join(one, "print").join(two, ["content_a", "content_b"]).select("content_a", "content_b", "one", "two"))
     labels = components(both.where("one != two").select(F.col("one").alias("a"), F.col("two").alias("b")).distinct())
-    named = both.join(labels.withColumnRenamed("node", "one"), "one", "left")
-    return named.select("doc_id", F.coalesce("label", "one").alias("component_id"))
+    named = both.join(labels.withColumnRenamed("node", "one"), "one", "left").select("content_a", "content_b", F.coalesce("label", "one").alias("component_id"))
+    return prints.select("doc_id", "content_a", "content_b").join(named, ["content_a", "content_b"]).select("doc_id", "component_id")
