@@ -63,8 +63,16 @@ VALID = {
 CUES_FOR = "mail|e-mail|contact|write|phone|tel|call|fax|mobile|cell|card|visa|mastercard|amex|credit|ip|address|host|ssn|social|iban|account|name|dear|telefon|karte|konto|courriel|carte|correo|tarjeta|nombre"
 CUES_AGAINST = "version|ver|release|isbn|issn|order|invoice|page|chapter|section|figure|table|id|serial|model|sku|price|total|hash|commit|sha|build"
 #: Gazetteers of last labels of domains, given names, and countries of account numbers.
-DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|de|fr|es|uk|it|nl|at|ch|be|eu|us|ca|au|jp|cn|in|br|mx|ru|pl|se|no|dk|fi"
-GIVEN = "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|Anna|Maria|Peter|Paul|Hans|Klaus|Jean|Marie|Pierre|Carlos|Ana|Luis|Carmen|José"
+DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|blog|cloud|tech|store|agency|email|io|ai|co|me|tv|eu|de|fr|es|uk|it|nl|at|ch|be|us|ca|au|nz|jp|cn|in|kr|tw|hk|sg|my|th|"
+    "vn|id|ph|br|mx|ar|cl|pe|ru|ua|by|kz|pl|cz|sk|hu|ro|bg|hr|si|rs|gr|tr|il|ae|sa|eg|ma|za|ng|ke|se|no|dk|fi|is|ee|lv|lt|ie|pt|lu"
+)
+GIVEN = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Christopher|Lisa|Daniel|Nancy|Matthew|Betty|Anthony|"
+    "Margaret|Mark|Sandra|Paul|Ashley|Steven|Emily|Andrew|Kimberly|George|Emma|Edward|Olivia|Henry|Sophia|Anna|Maria|Peter|Hans|Klaus|Jürgen|Wolfgang|Stefan|Andreas|Matthias|Ursula|Monika|Petra|Sabine|"
+    "Ingrid|Heike|Greta|Lukas|Jonas|Felix|Jean|Marie|Pierre|Michel|Philippe|Nicolas|François|Jacques|Camille|Claire|Sophie|Nathalie|Isabelle|Juliette|Chloé|Léa|Carlos|Ana|Luis|Carmen|José|Juan|Antonio|"
+    "Manuel|Francisco|Javier|Miguel|Alejandro|Pedro|Isabel|Lucía|Elena|Pilar|Teresa|Rosa|Ahmed|Mohammed|Fatima|Aisha|Ali|Omar|Wei|Li|Hiroshi|Yuki|Raj|Priya|Ivan|Olga|Dmitri|Natasha|Giovanni|Giulia|Marco"
+)
 COUNTRIES = "AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK"
 
 _SPAN = "struct<start:int,stop:int,txt:string,before:string,after:string>"
