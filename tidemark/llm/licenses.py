@@ -131,6 +131,7 @@ class TemplateIndex:
     words: list[np.ndarray]
     needed: list[int]
     prefix: dict[int, dict[int, list[tuple[int, int]]]]
+    indexed: frozenset[bytes] = frozenset()
 
 
 def index_templates(templates, frequency: dict[bytes, int], threshold: float = THRESHOLD) -> TemplateIndex:
@@ -144,6 +145,8 @@ def index_templates(templates, frequency: dict[bytes, int], threshold: float = T
         of_size = index.prefix.setdefault(block_of(len(text.split())), {})
         for at, word in enumerate(words[: len(words) - needed + 1].tolist()):
             of_size.setdefault(word, []).append((t, at))
+    held = set().union(*index.prefix.values())
+    index.indexed = frozenset(w for w, i in order.items() if i in held)
     return index
 
 
@@ -191,6 +194,8 @@ def matches(own: np.ndarray, index: TemplateIndex, size: int) -> dict[int, float
 
 def template_matches(words: list[bytes], index: TemplateIndex) -> dict[int, float]:
     """The best containment of each template that some block of the text holds."""
+    if index.indexed.isdisjoint(words):
+        return {}
     get = index.order.get
     numbers = np.array([get(w, -1) for w in words], dtype=np.int64)
     places = np.flatnonzero(numbers >= 0)
