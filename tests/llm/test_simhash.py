@@ -213,6 +213,39 @@ def test_linked_spans_what_all_verified_pairs_span():
     assert mine == label
 
 
+def test_runs_of_any_size_lose_no_link(spark, monkeypatch):
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for size in (150, 50, 50):  # one hot group
+        base = rng.choices(vocabulary, k=200)
+        texts += [grown(base, rng, vocabulary, rng.randint(0, 5)) for _ in range(size)]
+    ids = list(range(len(texts)))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    sketches = [simhash.sketch(simhash.words(t)) for t in texts]
+    bands = [simhash.band_keys(simhash.shingles(simhash.words(t))) for t in texts]
+    label = ids[:]
+    for a in ids:
+        for b in ids[:a]:
+            if label[a] != label[b] and set(bands[a]) & set(bands[b]) and simhash.similarity(sketches[a], sketches[b]) >= simhash.SIMILARITY:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert max(label.count(x) for x in set(label)) > 100 and len(set(label)) > 3
+    for leaf, grid, rounds in ((40, 1000, 2), (40, 20, 1)):
+        for name, value in (("WIDE_LEAF", leaf), ("GRID", grid), ("ROUNDS", rounds), ("PIVOTS", 4)):
+            monkeypatch.setattr(simhash, name, value)
+        component = {r.doc_id: r.component_id for r in simhash.verified_groups(docs).collect()}
+        same = [component[i] == label[i] for i in ids]
+        assert all(same) if grid == 1000 else sum(same) >= 0.98 * len(same)
+
+
+def test_texts_without_an_id_are_rows_of_verified_groups(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f", "", ""), (None, "q r s t u v", "", ""), (4, "a b c d e f", "", "")], DOCS)
+    rows = sorted([tuple(r) for r in simhash.verified_groups(docs).collect()], key=str)
+    assert rows == [(4, 4), (None, 4), (None, None)]
+
+
 def test_candidates_do_not_depend_on_where_texts_differ(spark):
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(5000)]

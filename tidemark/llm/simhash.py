@@ -17,8 +17,14 @@ shingles.  Candidates are texts that agree in one of 16 bands of four least hash
 misses all bands with a probability of 0.0002, wherever its texts differ and however long they are.  Their similarity
 is computed from the 128 smallest shingle hashes of each text (exact up to 128 shingles).  All pairs of a small run are
 verified.  In a larger one the sketches are compared in memory, and a member leaves the rest only through a verified
-link, so a run's links connect exactly what its verified pairs connect.  Runs over ``WIDE_LEAF`` are cut by the other
-bands first.  Texts equal word by word are one node from the start.
+link, so a run's links connect exactly what its verified pairs connect.  Texts equal word by word are one node from the
+start.
+
+Runs over ``WIDE_LEAF`` are never one task.  Keys are counted first, and members of such runs are dealt into blocks.  A
+few pivots of each run go to all its blocks and link what is near them.  What a run's largest component then holds needs
+no comparison within itself, so only the *rest* of the run, its members of other components, is still to be compared
+with all others.  A rest of up to ``GRID`` members goes to every block; a larger one, left after ``ROUNDS`` rounds of
+pivots, is cut by the other bands and then compared chunk by block.  A task holds about ``WIDE_LEAF`` and ``GRID`` members.
 
 Edge cases.  Null or wordless text has fingerprint zero and is linked like any other.  Texts with fewer words than a
 shingle hash their whole word sequence.  Repeated rows and ties fall together.  A component's id is the smallest
@@ -232,8 +238,14 @@ SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 128
 BANDS, BAND_ROWS = 16, 4
 #: Members of a run whose pairs are all verified one by one.
 PAIRED = 32
-#: Members of a run that are compared in memory by ``verified_groups``; only the last level takes larger runs.
-WIDE_LEAF = 16_384
+#: Members of a run, or of a block of a larger run, that ``verified_groups`` compares in memory.
+WIDE_LEAF = 4096
+#: Members of a larger run's rest that meet a block at a time, and pivots of a round, half of them from the rest.
+GRID, PIVOTS, ROUNDS = 2048, 8, 3
+#: Copies of a table with a row for each large run, so that its join with the members has no hot key.
+SALTS = 64
+#: Bytes of large runs' keys up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Multipliers and increments of the hash functions whose least values make the bands.
 _MIX = np.frombuffer(b"".join(xxhash.xxh64_digest(b"%d" % i, SEED) for i in range(2 * BANDS * BAND_ROWS)), dtype="<u8").reshape(2, -1, 1) | np.uint64(1)
 
@@ -387,6 +399,91 @@ def run_links(rows: DataFrame, leaf: int | None, inside: Callable[[list[np.ndarr
     return rows.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(run, "key long, a long, b long")
 
 
+def block_links(columns: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Of ``node, label, asks, sketch``: verified links that join, between all labels, what those of askers to any member join."""
+    nodes, labels, asks, sketches = columns
+    sizes = np.array([len(x) // 4 for x in sketches])
+    values = np.zeros((len(sketches), max(1, int(sizes.max()))), dtype=np.uint32)
+    for row, raw in zip(values, sketches, strict=True):
+        row[: len(raw) // 4] = np.frombuffer(raw, dtype=">u4")
+    standing = np.unique(labels, return_inverse=True)[1]
+    links = []
+    for at in np.flatnonzero(asks).tolist():
+        own = values[at, : sizes[at]]
+        others = np.flatnonzero(standing != standing[at])
+        for part in np.split(others, range(4096, len(others), 4096)):
+            near = part[similarities(own, values[part], sizes[part]) >= least]
+            for x in near[np.unique(standing[near], return_index=True)[1]].tolist():
+                if standing[x] != standing[at]:
+                    links.append((int(nodes[at]), int(nodes[x])))
+                    standing[standing == standing[x]] = standing[at]
+    return links
+
+
+def asked(askers: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links of ``key, node, label`` askers with the members of their key, in blocks of members and chunks of askers."""
+    sizes = askers.groupBy("key").agg(F.count("*").alias("asking")).join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    sizes = sizes.select("key", F.ceil(F.col("n") / WIDE_LEAF).alias("blocks"), F.ceil(F.col("asking") / GRID).alias("chunks"))
+    sizes = cut(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt")
+    place = lambda many, seed: F.pmod(F.xxhash64("node", F.lit(seed)), many)
+
+    def dealt(rows: DataFrame, asks: bool) -> DataFrame:
+        at = rows.select("key", "node", "label", salt).join(sizes, ["key", "salt"])
+        block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)) if asks else place(F.col("blocks"), 2)
+        at = at.select("key", "node", "label", "chunks", block.alias("block"))
+        chunk = place(F.col("chunks"), 3) if asks else F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        return at.select("key", "node", "label", "block", chunk.alias("chunk"), F.lit(asks).alias("asks"))
+
+    rows = dealt(askers, True).unionByName(dealt(members, False))
+    rows = rows.select(F.xxhash64("key", "block", "chunk").alias("key"), "node", "label", F.col("asks").cast("long").alias("asks"))
+    rows = rows.groupBy("key", "node").agg(F.min("label").alias("label"), F.max("asks").alias("asks"))
+    rows = rows.join(nodes.select("node", "sketch"), "node").select("key", "node", "label", "asks", "sketch")
+    return run_links(rows, None, block_links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def standings(over: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (``key, node, label``) of the runs that ``links`` do not connect whole, with the run's largest component, ``core``, and how many are not in it."""
+    named = cut(over.join(components(links), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    runs = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+    runs = runs.agg(F.max_by("label", F.struct("n", "label")).alias("core"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    runs = cut(runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
+    return cut(salted.join(runs, ["key", "salt"]).select("key", "node", "label", "core", "rest"))
+
+
+def pivots(members: DataFrame, turn: int) -> DataFrame:
+    """A few of each run's members, half of them from its rest; other ones each turn."""
+    row = lambda i: F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("draw"), "node", "label")
+    drawn = [F.min(row(i) if i % 2 else F.when(~F.col("label").eqNullSafe(F.col("core")), row(i))) for i in range(PIVOTS)]
+    return cut(members.groupBy("key").agg(F.array(*drawn).alias("drawn")).select("key", F.explode("drawn").alias("one")).where("one IS NOT NULL").select("key", "one.node", "one.label").distinct())
+
+
+def wide_links(over: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and those that verified pairs add within the runs of ``over`` (``key, node``), whatever their size."""
+    # near copies share most bands: each member first asks in one run only
+    members = cut(over.groupBy("node").agg(F.min("key").alias("key")).select("key", "node", F.col("node").alias("label"), F.lit(None).cast("long").alias("core")))
+    links = cut(links.unionByName(asked(pivots(members, 0), members, nodes)).distinct())
+    for turn in range(1, ROUNDS):
+        members = standings(over, links)
+        large = members.where(F.col("rest") > GRID)
+        if large.isEmpty():
+            break
+        links = cut(links.unionByName(asked(pivots(large, turn), large, nodes)).distinct())
+    else:
+        members = standings(over, links)
+    rest = F.col("label") != F.col("core")
+    narrow, large = members.where(F.col("rest") <= GRID), members.where(F.col("rest") > GRID)
+    out = links.unionByName(asked(narrow.where(rest), narrow, nodes))
+    if not large.isEmpty():
+        # two bands that a pair agrees in: the lesser one is the key, or that run is done
+        other = large.join(nodes.select("node", "bands"), "node").select("key", "node", "label", rest.alias("asks"), F.explode("bands").alias("band")).where("band > key")
+        other = cut(other.select(F.xxhash64("key", "band").alias("key"), "node", "label", "asks"))
+        askers = other.where("asks").select("key", "node", "label")
+        out = out.unionByName(asked(askers, other.join(askers.select("key").distinct(), "key", "left_semi"), nodes))
+    return cut(out.distinct())
+
+
 def verified_links(nodes: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) that span what verified pairs of ``node, bands, sketch`` rows connect within each band."""
     small, leaf = min(PAIRED, WIDE_LEAF), WIDE_LEAF
@@ -395,19 +492,20 @@ def verified_links(nodes: DataFrame) -> DataFrame:
         members, sketches = columns
         return linked(list(sketches), members)
 
-    first = cut(run_links(nodes.select(F.explode("bands").alias("key"), "node"), small, lambda columns: all_pairs(columns[0])))
+    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    hot = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("key"))
+    many = hot.count()
+    if many:
+        hot = F.broadcast(hot) if 8 * many <= BROADCAST_BYTES else hot
+        over, keyed = cut(keyed.join(hot, "key", "left_semi")), keyed.join(hot, "key", "left_anti")
+    first = cut(run_links(keyed, small, lambda columns: all_pairs(columns[0])))
     ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     out = verify(first.where("key = -1").select(*ends).distinct(), nodes)
-    over = first.where("key != -1").select("key", F.col("a").alias("node"))
-    if not over.isEmpty():
-        second = cut(run_links(over.join(nodes, "node").select("key", "node", "sketch"), leaf, in_memory))
-        out = out.unionByName(second.where("key = -1").select(*ends))
-        over = second.where("key != -1").select("key", F.col("a").alias("node"))
-        if not over.isEmpty():
-            others = over.join(nodes, "node").select("node", "sketch", "key", F.explode("bands").alias("band")).where("band != key")
-            dealt = others.select(F.xxhash64("key", "band").alias("key"), "node", "sketch")
-            out = out.unionByName(run_links(dealt, None, in_memory).select(*ends))
-    return cut(out.distinct())
+    middle = first.where("key != -1").select("key", F.col("a").alias("node"))
+    if not middle.isEmpty():
+        out = out.unionByName(run_links(middle.join(nodes, "node").select("key", "node", "sketch"), None, in_memory).select(*ends))
+    out = cut(out.distinct())
+    return wide_links(over, nodes, out) if many else out
 
 
 def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -425,8 +523,8 @@ def verify(links: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> Dat
 
 def verified_classes(known: DataFrame) -> DataFrame:
     """``content_a, content_b, component_id`` of the distinct texts of ``profiles`` rows."""
-    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
-    labels = components(verified_links(nodes))
+    nodes = cut(known.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    labels = components(verified_links(nodes.where("node IS NOT NULL")))
     return nodes.select("content_a", "content_b", "node").join(labels, "node", "left").select("content_a", "content_b", F.coalesce("label", "node").alias("component_id"))
 
 
