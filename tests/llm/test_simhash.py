@@ -240,6 +240,27 @@ def test_runs_of_any_size_lose_no_link(spark, monkeypatch):
         assert all(same) if grid == 1000 else sum(same) >= 0.98 * len(same)
 
 
+def test_passed_over_pairs_are_below_the_bar():
+    rng = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = ["", "one", "one two three four five six"]
+    for size in (12, 40, 80, 130, 300):
+        base = rng.choices(vocabulary, k=size)
+        texts += [grown(base, rng, vocabulary, rng.randint(0, 4)) for _ in range(12)] + [" ".join(base[: size - 5])]
+    sketches = [simhash.sketch(simhash.words(t)) for t in texts]
+    values, sizes = simhash.sketch_table(sketches)
+    shared = simhash.shared_values(values, sizes)
+    assert shared.tolist() == [sum(any(x in set(values[j, : sizes[j]]) for j in range(len(texts)) if j != i) for x in values[i, : sizes[i]]) for i in range(len(texts))]
+    pruned = 0
+    for i in range(len(texts)):
+        most = simhash.most_similar(i, np.arange(len(texts)), shared, sizes)
+        for j in range(len(texts)):
+            if i != j:
+                assert simhash.similarity(sketches[i], sketches[j]) <= most[j]
+                pruned += most[j] < simhash.SIMILARITY
+    assert pruned
+
+
 def test_texts_without_an_id_are_rows_of_verified_groups(spark):
     docs = spark.createDataFrame([(None, "a b c d e f", "", ""), (None, "q r s t u v", "", ""), (4, "a b c d e f", "", "")], DOCS)
     rows = sorted([tuple(r) for r in simhash.verified_groups(docs).collect()], key=str)

@@ -21,9 +21,10 @@ link, so a run's links connect exactly what its verified pairs connect.  Texts e
 start.
 
 Runs over ``WIDE_LEAF`` are never one task.  Keys are counted first, and members of such runs are dealt into blocks.  A
-few pivots of each run go to all its blocks and link what is near them.  What a run's largest component then holds needs
-no comparison within itself, so only the *rest* of the run, its members of other components, is still to be compared
-with all others.  A rest of up to ``GRID`` members goes to every block; a larger one, left after ``ROUNDS`` rounds of
+few pivots of each run go to all its blocks and link what is near them; later pivots are also the members that most
+earlier ones are near.  What a run's largest component then holds needs no comparison within itself, so only the *rest*
+of the run, its members of other components, is still to be compared with all others.  Hashes that no other member of a
+block has bound the similarity that a member can have to any of them; pairs below the bar by that bound are passed over.  A rest of up to ``GRID`` members goes to every block; a larger one, left after ``ROUNDS`` rounds of
 pivots, is cut by the other bands and then compared chunk by block.  A task holds about ``WIDE_LEAF`` and ``GRID`` members.
 
 Edge cases.  Null or wordless text has fingerprint zero and is linked like any other.  Texts with fewer words than a
@@ -38,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -329,19 +330,46 @@ def profiles(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), body, PROFILES)
 
 
-def linked(sketches: list[bytes], nodes: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Verified links that span what verified pairs connect among the members."""
+def sketch_table(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches as rows of one array, and how many values of each row count."""
     sizes = np.array([len(x) // 4 for x in sketches])
     values = np.zeros((len(sketches), max(1, int(sizes.max()))), dtype=np.uint32)
     for row, raw in zip(values, sketches, strict=True):
         row[: len(raw) // 4] = np.frombuffer(raw, dtype=">u4")
-    left, links = np.arange(len(sketches)), []
+    return values, sizes
+
+
+def shared_values(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each row's first ``sizes`` values some other row has too."""
+    row, column = np.nonzero(np.arange(values.shape[1]) < sizes[:, None])
+    _, which, many = np.unique(values[row, column], return_inverse=True, return_counts=True)
+    return np.bincount(row, weights=many[which] > 1, minlength=len(values)).astype(np.int64)
+
+
+def most_similar(at: int, others: np.ndarray, shared: np.ndarray, sizes: np.ndarray, kept: int = SKETCH) -> np.ndarray:
+    """What ``similarity`` of row ``at`` to ``others`` is at most: two rows have no more in common than either shares with any."""
+    common = np.minimum(shared[others], shared[at])
+    union = np.where((sizes[others] >= kept) | (sizes[at] >= kept), kept, sizes[others] + sizes[at] - common)
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
+
+
+def linked(sketches: list[bytes], nodes: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Verified links that span what verified pairs connect among the members.
+
+    Members that share most with others come first; pairs that cannot reach ``least`` are passed over.
+    """
+    values, sizes = sketch_table(sketches)
+    shared = shared_values(values, sizes)
+    left, links = np.argsort(-shared, kind="stable"), []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
             own = values[at, : sizes[at]]
-            near = np.concatenate([similarities(own, values[part], sizes[part]) for part in np.split(left, range(4096, len(left), 4096))]) >= least
+            near = most_similar(at, left, shared, sizes) >= least
+            able = left[near]
+            if len(able):
+                near[near] = np.concatenate([similarities(own, values[part], sizes[part]) for part in np.split(able, range(4096, len(able), 4096))]) >= least
             reached, left = left[near], left[~near]
             links += [(int(nodes[at]), int(nodes[x])) for x in reached]
             front += list(reached)
@@ -400,17 +428,20 @@ def run_links(rows: DataFrame, leaf: int | None, inside: Callable[[list[np.ndarr
 
 
 def block_links(columns: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Of ``node, label, asks, sketch``: verified links that join, between all labels, what those of askers to any member join."""
+    """Of ``node, label, asks, sketch``: verified links that join, between all labels, what those of askers to any member join.
+
+    Members that share most with others ask first; pairs that cannot reach ``least`` are passed over.
+    """
     nodes, labels, asks, sketches = columns
-    sizes = np.array([len(x) // 4 for x in sketches])
-    values = np.zeros((len(sketches), max(1, int(sizes.max()))), dtype=np.uint32)
-    for row, raw in zip(values, sketches, strict=True):
-        row[: len(raw) // 4] = np.frombuffer(raw, dtype=">u4")
+    values, sizes = sketch_table(sketches)
+    shared = shared_values(values, sizes)
     standing = np.unique(labels, return_inverse=True)[1]
     links = []
-    for at in np.flatnonzero(asks).tolist():
+    askers = np.flatnonzero(asks)
+    for at in askers[np.argsort(-shared[askers], kind="stable")].tolist():
         own = values[at, : sizes[at]]
         others = np.flatnonzero(standing != standing[at])
+        others = others[most_similar(at, others, shared, sizes) >= least]
         for part in np.split(others, range(4096, len(others), 4096)):
             near = part[similarities(own, values[part], sizes[part]) >= least]
             for x in near[np.unique(standing[near], return_index=True)[1]].tolist():
@@ -459,17 +490,29 @@ def pivots(members: DataFrame, turn: int) -> DataFrame:
     return cut(members.groupBy("key").agg(F.array(*drawn).alias("drawn")).select("key", F.explode("drawn").alias("one")).where("one IS NOT NULL").select("key", "one.node", "one.label").distinct())
 
 
+def hubs(members: DataFrame, links: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The members of each run with most links so far, ``earlier`` ones left out: what many pivots are near is a group's middle."""
+    linked_to = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    of = members.select("key", "node", "label").join(linked_to, "node").join(earlier.select("node").distinct(), "node", "left_anti")
+    # limited to a few rows a key before the shuffle, too
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "node"))
+    return cut(of.withColumn("place", place).where(F.col("place") <= PIVOTS // 2).select("key", "node", "label"))
+
+
 def wide_links(over: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``links`` and those that verified pairs add within the runs of ``over`` (``key, node``), whatever their size."""
     # near copies share most bands: each member first asks in one run only
     members = cut(over.groupBy("node").agg(F.min("key").alias("key")).select("key", "node", F.col("node").alias("label"), F.lit(None).cast("long").alias("core")))
-    links = cut(links.unionByName(asked(pivots(members, 0), members, nodes)).distinct())
+    drawn = pivots(members, 0)
+    links = cut(links.unionByName(asked(drawn, members, nodes)).distinct())
     for turn in range(1, ROUNDS):
         members = standings(over, links)
         large = members.where(F.col("rest") > GRID)
         if large.isEmpty():
             break
-        links = cut(links.unionByName(asked(pivots(large, turn), large, nodes)).distinct())
+        asking = pivots(large, turn).unionByName(hubs(large, links, drawn)).distinct()
+        drawn = cut(drawn.unionByName(asking))
+        links = cut(links.unionByName(asked(asking, large, nodes)).distinct())
     else:
         members = standings(over, links)
     rest = F.col("label") != F.col("core")
