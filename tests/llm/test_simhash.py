@@ -292,3 +292,18 @@ def test_bands_miss_few_pairs_at_the_bar():
         pair = simhash.band_keys(hashes[:243]), simhash.band_keys(hashes[27:])  # 216 of 270 in both: 0.8
         missed += all(a != b for a, b in zip(*pair, strict=True))
     assert missed <= 5
+
+
+def test_pairs_of_a_large_run_that_agree_in_one_band_alone_are_linked(spark, monkeypatch):
+    for name, value in (("WIDE_LEAF", 40), ("GRID", 20), ("ROUNDS", 1), ("PIVOTS", 4)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(16)
+    rows = []
+    for _ in range(60):  # pairs of near copies, all in one run; no two members agree in a second band
+        base = rng.sample(range(1 << 32), 101)
+        for kept in (base[:100], base[1:]):
+            bands = [7, *(rng.getrandbits(62) for _ in range(simhash.BANDS - 1))]
+            rows.append((len(rows), bands, bytearray(np.sort(np.array(kept, dtype=np.uint32)).astype(">u4").tobytes())))
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>, sketch binary")
+    found = {(r.a, r.b) for r in simhash.verified_links(nodes).collect()}
+    assert found == {(i, i + 1) for i in range(0, 120, 2)}

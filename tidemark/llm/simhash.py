@@ -24,8 +24,8 @@ Runs over ``WIDE_LEAF`` are never one task.  Keys are counted first, and members
 few pivots of each run go to all its blocks and link what is near them; later pivots are also the members that most
 earlier ones are near.  What a run's largest component then holds needs no comparison within itself, so only the *rest*
 of the run, its members of other components, is still to be compared with all others.  Hashes that no other member of a
-block has bound the similarity that a member can have to any of them; pairs below the bar by that bound are passed over.  A rest of up to ``GRID`` members goes to every block; a larger one, left after ``ROUNDS`` rounds of
-pivots, is cut by the other bands and then compared chunk by block.  A task holds about ``WIDE_LEAF`` and ``GRID`` members.
+block has bound the similarity that a member can have to any of them; pairs below the bar by that bound are passed over.  A larger rest than ``GRID``, left after ``ROUNDS`` rounds of pivots, first meets the members that agree in a second band.
+Then each run's rest, whatever its size, is compared with the whole run, chunk by block: no pair that shares a band is left out.  A task holds about ``WIDE_LEAF`` and ``GRID`` members.
 
 Edge cases.  Null or wordless text has fingerprint zero and is linked like any other.  Texts with fewer words than a
 shingle hash their whole word sequence.  Repeated rows and ties fall together.  A component's id is the smallest
@@ -516,15 +516,16 @@ def wide_links(over: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
     else:
         members = standings(over, links)
     rest = F.col("label") != F.col("core")
-    narrow, large = members.where(F.col("rest") <= GRID), members.where(F.col("rest") > GRID)
-    out = links.unionByName(asked(narrow.where(rest), narrow, nodes))
+    large = members.where(F.col("rest") > GRID)
     if not large.isEmpty():
-        # two bands that a pair agrees in: the lesser one is the key, or that run is done
+        # near copies mostly agree in two bands: the lesser one is the key, or that run is done
         other = large.join(nodes.select("node", "bands"), "node").select("key", "node", "label", rest.alias("asks"), F.explode("bands").alias("band")).where("band > key")
         other = cut(other.select(F.xxhash64("key", "band").alias("key"), "node", "label", "asks"))
         askers = other.where("asks").select("key", "node", "label")
-        out = out.unionByName(asked(askers, other.join(askers.select("key").distinct(), "key", "left_semi"), nodes))
-    return cut(out.distinct())
+        links = cut(links.unionByName(asked(askers, other.join(askers.select("key").distinct(), "key", "left_semi"), nodes)).distinct())
+        members = standings(over, links)
+    # whatever its size, a run's rest meets the whole run: pairs that agree in this one band alone are found here
+    return cut(links.unionByName(asked(members.where(rest), members, nodes)).distinct())
 
 
 def verified_links(nodes: DataFrame) -> DataFrame:
