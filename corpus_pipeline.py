@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, packing, quality, secret_scan, simhash
-from tidemark.llm.common import cut, discard, table, written
+from tidemark.llm.common import cut, discard, shuffles_go, table, written
 
 #: Names of helper columns, unlike any of a table.
 ROW, AGAIN, FIRST = "__row_of_pipeline", "__again_in_pipeline", "__first_of_pipeline"
@@ -40,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     else:
         other = F.lit(1 << 62) + F.pmod(F.xxhash64("text", "doc_id", F.lit(1)), F.lit(1 << 61))
         named = docs.join(shared, "doc_id", "left").withColumn(ROW, F.when(F.col(FIRST) != content, other).otherwise(name))
-    grouped = simhash.joined_groups(named.select(F.col(ROW).alias("doc_id"), "text"))
+    with shuffles_go(spark):
+        grouped = simhash.joined_groups(named.select(F.col(ROW).alias("doc_id"), "text"))
     kept = named.join(grouped.where("doc_id = component_id").select(F.col("doc_id").alias(ROW)), ROW, "left_semi")
     again = F.row_number().over(Window.partitionBy(ROW).orderBy(ROW))
     return kept.withColumn(AGAIN, again).where(F.col(AGAIN) == 1).select(*docs.columns)

@@ -307,3 +307,38 @@ def test_pairs_of_a_large_run_that_agree_in_one_band_alone_are_linked(spark, mon
     nodes = spark.createDataFrame(rows, "node long, bands array<long>, sketch binary")
     found = {(r.a, r.b) for r in simhash.verified_links(nodes).collect()}
     assert found == {(i, i + 1) for i in range(0, 120, 2)}
+
+
+@pytest.mark.parametrize("held", [2_000_000, 10])
+def test_components_are_those_of_brute_force_in_one_task_and_merged(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD_LINKS", held)
+    rng = random.Random(held)
+    path = rng.sample(range(-1000, 0), 60)  # a long path with nodes in no order, and loose links around
+    links = [*zip(path, path[1:], strict=False), *[(rng.randrange(300), rng.randrange(300)) for _ in range(140)], (500, 500), (7, 501), (501, 7)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        front = [node]
+        while front:
+            if (x := front.pop()) not in want:
+                want[x] = node
+                front += near[x]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert {r.node: r.label for r in simhash.components(frame).collect()} == want
+    assert simhash.components(frame.where("a > 9999")).count() == 0
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    links = spark.range(0, 4000, 1, 50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    try:
+        simhash.components(links)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("components") for s in status.getJobInfo(job).stageIds}
+    assert sum(status.getStageInfo(s).numTasks for s in stages if status.getStageInfo(s)) <= 200  # a few passes over 50 parts of links, and the task that joins them

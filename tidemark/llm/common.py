@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.shared import cut, discard, shared_folder, written
+from tidemark.plans.shared import cut, discard, shared_folder, shuffles_go, written
 
-__all__ = ["GramHasher", "crc_of_id", "cut", "discard", "hashed_fraction", "keep_rows", "map_batches", "shared_folder", "small_batches", "small_parts", "table", "written"]
+__all__ = ["GramHasher", "crc_of_id", "cut", "discard", "hashed_fraction", "keep_rows", "map_batches", "shared_folder", "shuffles_go", "small_batches", "small_parts", "table", "written"]
 
 #: Bytes of text that one Arrow batch hands to Python, unless a single row is longer.
 BATCH_BYTES = 4 << 20

@@ -10,7 +10,8 @@ sorted and are scanned as a stream; nothing is held but the current run, up to `
 is not paired up: its members go on to a second and third level, where the other segment is cut in the same way
 (16 and 8 bits).  A third-level run has at most 2 ** 11 distinct members by construction, so no pair is ever dropped
 and no run is unbounded.  Within a run only links that span its verified groups are kept (a member to the group's
-first), never all pairs.  Components grow by least labels with pointer jumping, cut at every round.
+first), never all pairs.  Components of up to ``HELD_LINKS`` links are found in one task; of more, nodes are merged
+along links until no more than that are left.
 
 Verified groups.  ``verified_groups`` takes the usual bar for near copies, a Jaccard similarity of 0.8 of five-word
 shingles.  Candidates are texts that agree in one of 16 bands of four least hashes of their shingles; a pair at 0.8
@@ -49,6 +50,8 @@ SEED = 42
 MAX_BITS = 2
 #: Fingerprints of a run that are compared in memory; larger runs go to the next level.
 LEAF = 2048
+#: Links whose components one task finds (at 16 bytes each, and about 100 while they are sorted).
+HELD_LINKS = 2_000_000
 #: Shingles that are counted at a time.
 CHUNK = 1 << 15
 
@@ -203,19 +206,52 @@ def close_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     return out.select("a", "b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, label`` for every linked node: the least node that it can reach."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        offers = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
-        nearer = state.join(offers, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        roots = state.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = nearer.join(roots, "label", "left").select("node", "old", F.least("label", "further").alias("label"))
-        moved = cut(moved)
-        state = moved.select("node", "label")
-        if moved.where("label < old").isEmpty():
-            return state
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The linked nodes in order, and the least node that each can reach."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(nodes))
+    first, second = at[: len(a)], at[len(a) :]
+    while len(first):
+        np.minimum.at(label, np.maximum(first, second), np.minimum(first, second))
+        while not np.array_equal(further := label[label], label):
+            label = further
+        first, second = label[first], label[second]
+        apart = first != second
+        first, second = first[apart], second[apart]
+    return nodes, nodes[label]
+
+
+def components(links: DataFrame, turn: int = 0) -> DataFrame:
+    """``node, label`` for every linked node: the least node that it can reach.
+
+    Up to ``HELD_LINKS`` links are joined in one task; more are merged along links until no more than that are left.
+    """
+    kept = cut(links.select("a", "b"))
+    if kept.count() > HELD_LINKS:
+        return merged(kept, turn)
+
+    def run(batches):
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            nodes, labels = least_reachable(*map(np.concatenate, zip(*parts, strict=True)))
+            for first in range(0, len(nodes), CHUNK):
+                columns = [pa.array(x[first : first + CHUNK], type=pa.int64()) for x in (nodes, labels)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "label"])
+
+    return cut(kept.coalesce(1).mapInArrow(run, "node long, label long"))
+
+
+def merged(links: DataFrame, turn: int) -> DataFrame:
+    """``components``: each node merges into the first of itself and its neighbours, in an order drawn anew each turn."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("near"))
+    hop = both.groupBy("a").agg(F.min(rank("b")).alias("first")).select(F.col("a").alias("node"), F.least("first", rank("a")).getField("near").alias("near"))
+    hop = cut(hop)
+    left, right = hop.select(F.col("node").alias("a"), F.col("near").alias("x")), hop.select(F.col("node").alias("b"), F.col("near").alias("y"))
+    fewer = links.join(left, "a").join(right, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    further = components(fewer, turn + 1).select(F.col("node").alias("near"), F.col("label").alias("of"))
+    named = cut(hop.join(further, "near", "left").select("node", F.coalesce("of", "near").alias("of")))
+    return cut(named.join(named.groupBy("of").agg(F.min("node").alias("label")), "of").select("node", "label"))
 
 
 def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
